@@ -1,4 +1,4 @@
-"""The queries of this subpackage: op1 to op10 and the pipeline."""
+"""The queries of this subpackage: op1 to op10. Each reads whole tables and takes its rows from its operator."""
 
 from __future__ import annotations
 
@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.llm.shared import table
+from siftspark.llm import ann, bpe, classifier, mixing, rules, secrets, sharding, simhash, suffixes, warc
+from siftspark.llm.shared import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
+SHARDS = 40
 
 
 def word_bpe_path() -> str:
@@ -19,14 +21,70 @@ def word_bpe_path() -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siftspark.llm import bpe
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, word_bpe_path(), outputs=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write(table(spark, sf_dir, "pages"))
+    seen = warc.captures(warc.read(spark, path, with_payload=False))
+    return seen.select(
+        F.col("metadata.page_id").alias("page_id"), F.col("reply.payload_bytes").alias("payload_bytes"), F.col("reply.digest").alias("payload_digest"),
+        F.col("reply.kind").alias("record_type"), F.col("metadata.refers_to_page").alias("refers_to"),
+    )
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = stored(simhash.with_fingerprints(docs).drop("text"), "fingerprints")
+    return simhash.classes(rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op5_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    forest = classifier.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    held_out = F.coalesce(classifier.fold("doc_id") == 0, F.lit(False))
+    return classifier.score(docs, forest).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    rows = stored(mixing.measured(docs).drop("text"), "sizes")
+    return mixing.plan(rows, n_shards=SHARDS).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = sharding.write_shards(table(spark, sf_dir, "documents"), SHARDS)
+    text = F.coalesce("text", F.lit(""))
+    return spark.read.parquet(path).select(
+        "doc_id", (F.octet_length(text) + F.lit(16)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_kept=False)
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    text = secrets.spans_text(F.col("secrets"))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(text, 256).alias("base_sha256"), text.alias("spans"))
+
+
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe}
+    return {f.__name__: f for f in (op1_bpe, op2_warc, op3_simhash, op4_ann, op5_classifier, op6_mixing, op7_sharding, op8_suffixes, op9_secrets, op10_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
