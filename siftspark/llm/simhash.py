@@ -196,6 +196,13 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", fp_col: str = "fp
     return docs.withColumn(fp_col, fp(F.col(text_col)))
 
 
+def _named(rows: DataFrame, id_col: str, fp_col: str, radius: int) -> DataFrame:
+    """node (a distinct fingerprint), least (its least id), component (the least fingerprint reachable)."""
+    distinct = rows.groupBy(F.col(fp_col).alias("node")).agg(F.min(id_col).alias("least"))
+    tied = components(links(rows, fp_col, radius))
+    return distinct.join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
 def classes(rows: DataFrame, id_col: str = "doc_id", fp_col: str = "fp", radius: int = RADIUS) -> DataFrame:
     """rows (with fingerprints) with component_id: the least id reachable over links, the row's own among them.
 
@@ -203,10 +210,16 @@ def classes(rows: DataFrame, id_col: str = "doc_id", fp_col: str = "fp", radius:
     they are read three times. A column of rows called component_id gives way.
     """
     rows = rows.drop(*[c for c in rows.columns if c.lower() == "component_id"])
-    node, least = fresh(rows, "node", "least")
-    distinct = rows.groupBy(F.col(fp_col).alias(node)).agg(F.min(id_col).alias(least))
-    tied = components(links(rows, fp_col, radius))
-    named = distinct.join(tied.select(F.col("node").alias(node), "component"), node, "left").withColumn("component", F.coalesce("component", node))
-    firsts = named.groupBy("component").agg(F.min(least).alias("component_id"))
-    known = cut(named.join(firsts, "component").select(node, "component_id"))
+    (node,) = fresh(rows, "node")
+    named = _named(rows, id_col, fp_col, radius)
+    firsts = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = cut(named.join(firsts, "component").select(F.col("node").alias(node), "component_id"))
     return rows.join(known, rows[fp_col] == known[node], "left").drop(node)
+
+
+def keep_one(rows: DataFrame, id_col: str = "doc_id", fp_col: str = "fp", radius: int = RADIUS) -> DataFrame:
+    """One row of each component: that with the least id, null ids last; of rows that share id and fingerprint any one."""
+    first, node = fresh(rows, "first_id", "node")
+    chosen = _named(rows, id_col, fp_col, radius).groupBy("component").agg(F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("c"))
+    chosen = chosen.select(F.col("c.least").alias(first), F.col("c.node").alias(node))
+    return rows.join(chosen, (rows[fp_col] == chosen[node]) & rows[id_col].eqNullSafe(chosen[first]), "left_semi").dropDuplicates([fp_col, id_col])
