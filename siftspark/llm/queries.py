@@ -87,5 +87,54 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_bpe, op2_warc, op3_simhash, op4_ann, op5_classifier, op6_mixing, op7_sharding, op8_suffixes, op9_secrets, op10_rules)}
 
 
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_BASE32 = " || ".join(
+    f"substr('{_LETTERS}', ((('0x' || substr(h, {5 * i + 1}, 5))::BIGINT >> {shift}) & 31)::INT + 1, 1)" for i in range(8) for shift in (15, 10, 5, 0)
+)
+
+OP2_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS b FROM pages), d AS (SELECT *, sha1(b) AS h, max(page_id) OVER (PARTITION BY b) AS f FROM p)
+SELECT page_id, strlen(b)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = f OR f IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f OR page_id IS NULL THEN f END AS refers_to FROM d"""
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_FOUND = " UNION ALL ".join(
+    f"SELECT doc_id, '{r.kind}' AS kind, {k} AS rank, {r.least} AS least, string_split_regex(t, {_quoted(r.pattern)}) AS parts, regexp_extract_all(t, {_quoted(r.pattern)}, 0) AS ms, regexp_extract_all(t, {_quoted(r.pattern)}, {r.group}) AS gs FROM docs"
+    for k, r in enumerate(secrets.RULES)
+)
+
+OP9_SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({_FOUND}),
+  each AS (SELECT doc_id, kind, rank, least, generate_subscripts(ms, 1) AS i, unnest(ms) AS m, unnest(gs) AS g, unnest(parts[1:len(ms)]) AS gap FROM found),
+  placed AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM each),
+  spans AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS k, count(*) FILTER (kind = 'hex') AS h,
+    string_agg(kind || ':' || (stop - length(m))::BIGINT || ':' || stop::BIGINT, ',' ORDER BY stop - length(m), rank) AS s FROM placed WHERE length(g) >= least GROUP BY doc_id)
+SELECT docs.doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(s, '')) AS base_sha256, coalesce(s, '') AS spans
+FROM docs LEFT JOIN spans USING (doc_id)"""
+
+OP10_SQL = rf"""
+WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+  words AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(t, '[^ 	-]+') AS w FROM docs)),
+  threes AS (SELECT *, lead(w, 1) OVER v AS w1, lead(w, 2) OVER v AS w2 FROM words WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+  again AS (SELECT *, w2 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, w, w1, w2) > 1 AS r FROM threes),
+  covered AS (SELECT *, r OR coalesce(lag(r, 1) OVER v, false) OR coalesce(lag(r, 2) OVER v, false) AS c FROM again WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+  by_word AS (SELECT doc_id, count(*) AS n_words, sum(length(w))::BIGINT AS word_chars, count(*) FILTER (c) AS n_repeat_words FROM covered GROUP BY doc_id),
+  lines AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS l FROM docs),
+  full_lines AS (SELECT *, translate(lower(trim(regexp_replace(l, '[ 	-]+', ' ', 'g'))), '123456789', '000000000') AS folded, len(regexp_extract_all(l, '[^ 	-]+')) AS n FROM lines WHERE regexp_matches(l, '[^ 	-]')),
+  by_line AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM full_lines GROUP BY doc_id),
+  common AS (SELECT source, folded FROM full_lines GROUP BY 1, 2 HAVING count(DISTINCT t) > {rules.LINE_LIMIT}),
+  lost AS (SELECT doc_id, sum(n)::BIGINT AS lost FROM full_lines f JOIN common c ON f.folded = c.folded AND f.source IS NOT DISTINCT FROM c.source GROUP BY doc_id),
+  told AS (SELECT docs.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost, 0) AS lost
+    FROM docs LEFT JOIN by_word USING (doc_id) LEFT JOIN by_line USING (doc_id) LEFT JOIN lost USING (doc_id)),
+  base AS (SELECT *, n_words < {rules.LEAST_WORDS} OR 100 * n_repeat_words > {rules.REPEATED_PERCENT} * n_words AS base_failed FROM told)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND n_words - lost >= {rules.LEAST_WORDS} AND n_words - lost >= {1 - rules.DEPLETED_SHARE} * n_words AS kept FROM base"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the queries that SQL can say; the others are held against brute force in the tests."""
+    return {"op2_warc": OP2_SQL, "op9_secrets": OP9_SQL, "op10_rules": OP10_SQL}
