@@ -354,36 +354,39 @@ def repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", len
     small_batches(spark)
     made = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "runs")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
-    key, size = fresh(docs, "text_key", "text_bytes")
+    key, size, digest = fresh(docs, "text_key", "text_bytes", "text_sha256")
     n_tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn(text_col, text).withColumn(key, F.sha2(text, 256)).withColumn(size, F.octet_length(text).cast("long"))
+    # 16 bytes of the SHA-256 are key enough, and half as much to move
+    keyed = docs.withColumn(text_col, text).withColumn(digest, F.sha2(text, 256)).withColumn(key, F.unhex(F.substring(digest, 1, 32))).withColumn(size, F.octet_length(text).cast("long"))
     long_ones = keyed.where(F.octet_length(text_col) >= length).select(F.col(key).alias("k"), F.col(text_col).alias("text"), F.col(id_col).alias("i"))
     copies = stored(long_ones.groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("first")), "copies")
 
-    at = stored(long_ones.select("k", "text").mapInPandas(_places(length), "k string, at long, h long").distinct(), "anchors")
-    groups = stored(at.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
-    places = at.join(groups, "h").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("at", "h"))).alias("p"))
+    at = stored(long_ones.select("k", "text").mapInPandas(_places(length), "k binary, at long, h long"), "anchors")
+    # a hash is repeated if it stands at two places; the places of copies are the same, so no distinct is needed
+    place = F.xxhash64("k", "at")
+    groups = stored(at.groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("h"), "repeated")
+    places = at.join(groups, "h").groupBy("k").agg(F.array_sort(F.collect_set(F.struct("at", "h"))).alias("p"))
     # the id is a join key too, so a text with very many copies is dealt over many tasks
     first = places.join(copies.select("k", "first"), "k").select(F.col("k").alias("fk"), "first", "p")
     picked = long_ones.join(first, (F.col("k") == F.col("fk")) & F.col("i").eqNullSafe(F.col("first"))).select("k", "text", F.col("p.at").alias("places"), F.col("p.h").alias("hashes"))
     # texts with repeated anchors, one of each copy; a row that repeats with its id stays twice here, and counts once below
     suspects = stored(picked, "suspects")
-    around = stored(suspects.mapInPandas(_contexts(length), "k string, at long, h long, around binary, back long, ahead long"), "contexts")
+    around = stored(suspects.mapInPandas(_contexts(length), "k binary, at long, h long, around binary, back long, ahead long"), "contexts")
     told = around.where("around is null").select("k", (F.col("at") - F.col("back")).alias("low"), (F.col("at") + F.col("ahead")).alias("high"))
-    large = groups.where(F.col("n") > group_limit).select("h")
     open_ones = around.where("around is not null")
+    large = open_ones.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > group_limit).select("h")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(16 * BATCH_ROWS))
-    found = open_ones.join(large, "h", "left_anti").repartition(n_tasks, "h").sortWithinPartitions("h").select("k", "at", "h", "around", "back").mapInPandas(_removed(length), "k string, low long, high long")
+    found = open_ones.join(large, "h", "left_anti").repartition(n_tasks, "h").sortWithinPartitions("h").select("k", "at", "h", "around", "back").mapInPandas(_removed(length), "k binary, low long, high long")
     if large.limit(1).count():
-        windows = open_ones.join(large, "h", "left_semi").select("k", "at", "around", "back").mapInPandas(_windows(length), "w binary, k string, low long").distinct()
+        windows = open_ones.join(large, "h", "left_semi").select("k", "at", "around", "back").mapInPandas(_windows(length), "w binary, k binary, low long").distinct()
         again = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
         found = found.unionByName(windows.join(again, "w").select("k", "low", (F.col("low") + length).alias("high")))
     spans = found.unionByName(told).groupBy("k").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     small_batches(spark)
     outputs = ("n_removed", "n_spans", "kept_sha256", *(("kept", "runs") if with_kept else ()))
     kinds = {"n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept": "binary", "runs": "array<long>"}
-    done = suspects.select("k", "text").join(spans, "k").mapInPandas(_keep(length), "k string, " + ", ".join(f"{c} {t}" for c, t in kinds.items())).select("k", *outputs).dropDuplicates(["k"])
+    done = suspects.select("k", "text").join(spans, "k").mapInPandas(_keep(length), "k binary, " + ", ".join(f"{c} {t}" for c, t in kinds.items())).select("k", *outputs).dropDuplicates(["k"])
     # copies go whole; what no span touched stays whole
     many = copies.where("n > 1").select("k", F.lit(True).alias("copied"))
     known = done.join(many, "k", "full_outer")
@@ -394,7 +397,7 @@ def repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", len
     values = {
         "n_removed": F.when(gone, n).otherwise(F.coalesce("n_removed", F.lit(0))),
         "n_spans": F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long"),
-        "kept_sha256": F.when(gone, empty).otherwise(F.coalesce("kept_sha256", F.col(key))),
+        "kept_sha256": F.when(gone, empty).otherwise(F.coalesce("kept_sha256", F.col(digest))),
     }
     if with_kept:
         values["kept"] = F.when(gone, F.lit("").cast("binary")).otherwise(F.coalesce("kept", F.col(text_col).cast("binary")))
