@@ -16,6 +16,8 @@ from siftspark.llm.shared import fresh, scratch
 
 #: Bytes that a bucket holds on average. A bucket is gathered by one task, so this bounds a task's memory.
 BUCKET_BYTES = 8 << 20
+#: Most buckets whose starts (16 bytes each) are broadcast; beyond it they are joined as Spark sees fit.
+STARTS = 1 << 20
 #: Bytes that a row counts besides its text.
 ROW_BYTES = 16
 
@@ -46,7 +48,7 @@ def spread(docs: DataFrame, n_shards: int, text_col: str = "text", seed: int = 1
         .sortWithinPartitions(b)
         .select(b, F.shuffle(F.array_sort(rows, lambda x, y: F.when(x["h"] < y["h"], -1).when(x["h"] > y["h"], 1).otherwise(0)), seed).alias(rows))
     )
-    placed = gathered.join(starts, b).select(F.posexplode(rows).alias("_at", "_row"), "_from").withColumn("_p", F.col("_from") + F.col("_at"))
+    placed = gathered.join(F.broadcast(starts) if n_buckets <= STARTS else starts, b).select(F.posexplode(rows).alias("_at", "_row"), "_from").withColumn("_p", F.col("_from") + F.col("_at"))
     # shard s begins at position ceil(s * n / shards)
     shard = F.expr(f"(_p * {n_shards}) div {max(n, 1)}")
     return placed.withColumn("shard", shard.cast("int")).select(
