@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.llm.shared import scratch
+from siftspark.llm.shared import scratch, stored
 
 
 @dataclass(frozen=True)
@@ -137,6 +137,8 @@ def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = R
         .groupBy("blob")
         .agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("_found"))
     )
+    # findings as a table of their own: Spark knows their size, and can split the rows of a blob with very many paths
+    found = stored(found, "findings")
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     return (
         docs.withColumn("_blob", blob_of(F.col(text_col)))

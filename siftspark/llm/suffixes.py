@@ -389,7 +389,8 @@ def repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", len
     done = suspects.select("k", "text").join(spans, "k").mapInPandas(_keep(length), "k binary, " + ", ".join(f"{c} {t}" for c, t in kinds.items())).select("k", *outputs).dropDuplicates(["k"])
     # copies go whole; what no span touched stays whole
     many = copies.where("n > 1").select("k", F.lit(True).alias("copied"))
-    known = done.join(many, "k", "full_outer")
+    # a table of its own, so that Spark can split the rows of a text with very many copies
+    known = stored(done.join(many, "k", "full_outer"), "removed")
     n = F.col(size)
     empty = F.sha2(F.lit(""), 256)
     gone = F.coalesce(F.col("copied"), F.lit(False))
