@@ -22,6 +22,7 @@ class Config:
     input_root: str = ""
     output_root: str = ""
     strict_sniff: bool = False
+    list_empty: bool = True
     text: dict = field(default_factory=lambda: {"method": "ours_lsh", "threshold": 0.8, "n": 3})
     image: dict = field(default_factory=lambda: {"method": "sem_dedup", "eps": 0.15})
     audio: dict = field(default_factory=lambda: {"method": "phash", "threshold": 0.75})
@@ -72,6 +73,8 @@ class Pipeline:
 
     def run(self) -> dict[str, DataFrame]:
         scanned = files.scan_files(self.spark, self.config.input_root)
+        if self.config.list_empty:
+            scanned = scanned.unionByName(files.empty_files(self.spark, self.config.input_root))
         out = {"manifest": self._stage("manifest", lambda: manifest.sort_files(scanned, self.config.input_root, self.config.strict_sniff))}
         results = []
         for modality in manifest.MODALITIES:

@@ -25,6 +25,20 @@ def scan_files(spark: SparkSession, root: str, pattern: str | None = None, recur
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(root)
 
 
+def empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """The files without bytes below root, which Spark's binary reader leaves out; columns as in scan_files().
+
+    The driver walks the listing, so this is for file trees, not for stores with very many objects.
+    """
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    listing, rows = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(place, True), []
+    while listing.hasNext():
+        file = listing.next()
+        if file.getLen() == 0:
+            rows.append((file.getPath().toString(), file.getModificationTime() / 1000))
+    return spark.createDataFrame(rows, "path string, t double").select("path", F.timestamp_seconds("t").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit("").cast("binary").alias("content"))
+
+
 def scan_wav(spark: SparkSession, root: str) -> DataFrame:
     return scan_files(spark, root, "*.wav", recursive=False)
 
