@@ -203,8 +203,9 @@ def long_run(text: Column, leaf: int = LEAF) -> Column:
     return F.coalesce(text.rlike(rf"[^\x20\x09-\x0D]{{{leaf // 4},}}+"), F.lit(False))
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids"), leaf: int = LEAF) -> DataFrame:
-    """docs with the outputs as further columns: one row for each row of docs, columns of docs untouched.
+def encode(docs: DataFrame, path: str, text_col: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids"), leaf: int = LEAF, with_text: bool = True) -> DataFrame:
+    """docs with the outputs as further columns: one row for each row of docs, columns of docs untouched. Without
+    with_text the text goes, and is not carried back from the workers.
 
     outputs: of n_tokens (long), ids (decimal ids joined by spaces), decoded (text), ids_sha256 and decoded_sha256
     (lower-case hex). A column of docs with an output's name gives way to it. Null and empty texts have no tokens.
@@ -214,14 +215,17 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", outputs: tuple[st
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.drop(*[c for c in docs.columns if c.lower() in outputs])
-    schema, columns = docs.schema, docs.columns
-    out_schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), *(f"{c} {FIELDS[c]}" for c in outputs)])
+    columns = docs.columns
+    carried = [f for f in docs.schema if with_text or f.name != text_col]
+    out_schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in carried), *(f"{c} {FIELDS[c]}" for c in outputs)])
     at, wanted = columns.index(text_col), [list(FIELDS).index(c) for c in outputs]
 
     def plain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(path)
         for frame in frames:
             rows = [row_of(*own.text(t or "")) for t in frame.iloc[:, at]]
+            if not with_text:
+                frame = frame.drop(columns=frame.columns[at])
             for c, k in zip(outputs, wanted, strict=True):
                 frame[c] = [r[k] for r in rows]
             yield frame
@@ -239,7 +243,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", outputs: tuple[st
     done = leaves.repartition(n_tasks, "k", "piece", "leaf").mapInPandas(_leaf(path), "k string, piece long, leaf long, last boolean, ids array<int>")
     whole = done.groupBy("k").applyInPandas(_assemble(path), "k string, " + ", ".join(f"{c} {FIELDS[c]}" for c in FIELDS))
     joined = far.join(whole.select(F.col("k").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in outputs]), key).select(
-        *[F.col(f"`{c}`") for c in columns], *[F.col(f"{key}_{c}").alias(c) for c in outputs]
+        *[F.col(f"`{f.name}`") for f in carried], *[F.col(f"{key}_{c}").alias(c) for c in outputs]
     )
     return short.unionByName(joined)
 

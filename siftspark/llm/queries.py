@@ -22,7 +22,7 @@ def word_bpe_path() -> str:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode(docs, word_bpe_path(), outputs=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
+    return bpe.encode(docs, word_bpe_path(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"), with_text=False)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
