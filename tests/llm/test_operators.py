@@ -127,6 +127,40 @@ def test_ann_recall_ties_and_useless_vectors(spark):
     assert few.count() == 4
 
 
+def nearest(spark, x, asked, k=20):
+    """Recall of each asked row by ann.search(), whose rows must be full."""
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found, recall = {}, []
+    for r in ann.search(table, F.col("vec_id").isin(asked), k).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for q in asked:
+        s = x @ x[q]
+        s[q] = -np.inf
+        many = min(k, len(x) - 1)
+        assert len(found.get(q, ())) == many
+        recall.append(np.mean(s[sorted(found[q])] >= np.sort(s)[-many] - 1e-9))
+    return recall
+
+
+def test_ann_asks_sparse_queries_again(spark):
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    groups = np.repeat(unit(rng.normal(size=(100, 64))), 60, axis=0)
+    single = unit(rng.normal(size=(50, 64)))
+    # tight groups of near copies and single vectors among them, then exact copies in place of near ones
+    for noise in (1e-6, 0.0):
+        x = np.concatenate([unit(groups + noise * rng.normal(size=groups.shape)), single])
+        recall = nearest(spark, x, [*range(0, 6000, 1000), *range(6000, 6050)])
+        assert min(recall) >= 0.9 and np.mean(recall) >= 0.99
+    # as few candidates as rows asked for, and fewer
+    for n in (10, 21):
+        assert min(nearest(spark, unit(rng.normal(size=(n, 64))), list(range(n)))) == 1
+    # loose clusters
+    loose = unit(np.repeat(unit(rng.normal(size=(60, 64))), 25, axis=0) + 0.08 * rng.normal(size=(1500, 64)))
+    recall = nearest(spark, np.concatenate([loose, single]), list(range(0, 1550, 10)))
+    assert min(recall) >= 0.75 and np.mean(recall) >= 0.97
+
+
 def test_classifier_on_held_out_rows(spark):
     rng = np.random.default_rng(5)
     good = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60)) + "."
