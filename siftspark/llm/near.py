@@ -1,0 +1,103 @@
+"""Near copies by Jaccard similarity of word shingles, besides what SimHash links.
+
+Bands of MinHash values give candidates: at the limit of 0.8 a pair is missed with a chance of 0.0004. Each candidate is
+checked on the whole texts. Groups that are tied already are not compared: in each band first all go to one hub, then
+those of groups still apart to one another.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from siftspark.llm import simhash
+from siftspark.llm.shared import components, small_batches, stored
+
+SHINGLE, SIMILARITY = 5, 0.8
+BANDS, ROWS = 20, 5
+_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+_RNG = np.random.default_rng(37)
+_FLIP, _TIMES = (_RNG.integers(0, 1 << 64, size=(BANDS * ROWS, 1), dtype=np.uint64) for _ in range(2))
+_TIMES |= np.uint64(1)
+_STEP = 1 << 12
+
+
+def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
+    """The set of hashes (sorted) of the text's n-word shingles; a shorter text is its own shingle, one without words has none."""
+    words = (text or "").encode().translate(_LOWER).split()
+    digest = xxhash.xxh64_intdigest
+    found = {digest(b" ".join(words[i : i + n]), 43) for i in range(max(1, len(words) - n + 1))} if words else set()
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
+def bands(found: np.ndarray) -> list[int]:
+    """A signed 64-bit number for each band; none for an empty set."""
+    if not len(found):
+        return []
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, dtype=np.uint64)
+    for i in range(0, len(found), _STEP):
+        least = np.minimum(least, ((found[None, i : i + _STEP] ^ _FLIP) * _TIMES).min(axis=1))
+    return [xxhash.xxh64_intdigest(x.tobytes(), b) - (1 << 63) for b, x in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def with_sets(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with near: the key and size of the text's shingle set and its bands."""
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("struct<key: long, size: long, bands: array<long>>")
+    def near(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingles(t) for t in texts]
+        keys = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
+        return pd.DataFrame({"key": keys, "size": [len(s) for s in sets], "bands": [bands(s) for s in sets]})
+
+    return docs.withColumn("near", near(text_col))
+
+
+def _similar(rows: DataFrame, pairs: DataFrame, similarity: float, text_col: str) -> DataFrame:
+    """Edges (a, b) of those of pairs (x, y: keys; a, b) whose texts are similar."""
+    asked = pairs.select(F.col("x").alias("k")).unionByName(pairs.select(F.col("y").alias("k"))).distinct()
+    texts = rows.select(F.col("near.key").alias("k"), F.col(text_col).alias("t")).join(asked, "k", "left_semi").dropDuplicates(["k"])
+    texts = stored(texts, "near-texts")
+
+    @F.pandas_udf("boolean")
+    def alike(one: pd.Series, other: pd.Series) -> pd.Series:
+        def share(s: str, t: str) -> bool:
+            a, b = shingles(s), shingles(t)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            return both >= similarity * (len(a) + len(b) - both)
+
+        return pd.Series([share(s, t) for s, t in zip(one, other, strict=True)], dtype=bool)
+
+    held = pairs.join(texts.select(F.col("k").alias("x"), F.col("t").alias("tx")), "x").join(texts.select(F.col("k").alias("y"), F.col("t").alias("ty")), "y")
+    return held.where(alike("tx", "ty")).select("a", "b")
+
+
+def ties(rows: DataFrame, similarity: float = SIMILARITY, radius: int = simhash.RADIUS, text_col: str = "text") -> DataFrame:
+    """node, component over fingerprints: what SimHash links, equal shingle sets and similar texts connect.
+
+    rows have fp and near and should be stored, not computed.
+    """
+    small_batches(rows.sparkSession)
+    nodes = stored(rows.where(F.size("near.bands") > 0).select("near.*", "fp").dropDuplicates(["key", "fp"]), "near-nodes")
+    equal = nodes.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.collect_set("fp").alias("all")).where("a < b")
+    tied = components(simhash.links(rows, radius=radius).unionByName(equal.select("a", F.explode("all").alias("b"))))
+    small_batches(rows.sparkSession)
+    for hub_only in (True, False):
+        named = nodes.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("key", "size", "bands", F.coalesce("component", "fp").alias("c"))
+        named = named.dropDuplicates(["key"]).select(F.explode("bands").alias("band"), "key", "size", "c")
+        # only bands where groups meet that are still apart
+        busy = named.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct("key", "size", "c")).alias("hub")).where("low < high")
+        met = stored(named.join(busy, "band").select("band", "key", "size", "c", "hub"), "near-met")
+        if hub_only:
+            both = met.where("c != hub.c").select(F.col("hub.key").alias("x"), F.col("key").alias("y"), F.col("hub.size").alias("m"), F.col("size").alias("n"), F.col("hub.c").alias("a"), F.col("c").alias("b"))
+        else:
+            one = met.select("band", F.col("key").alias("x"), F.col("size").alias("m"), F.col("c").alias("a"))
+            both = one.join(met.select("band", F.col("key").alias("y"), F.col("size").alias("n"), F.col("c").alias("b")), "band").where("a < b")
+        fits = F.least("m", "n") >= similarity * F.greatest("m", "n")
+        pairs = stored(both.where(fits).select("x", "y", "a", "b").distinct(), "near-pairs")
+        found = _similar(rows, pairs, similarity, text_col)
+        tied = components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
+    return tied

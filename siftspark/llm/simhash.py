@@ -196,10 +196,10 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", fp_col: str = "fp
     return docs.withColumn(fp_col, fp(F.col(text_col)))
 
 
-def _named(rows: DataFrame, id_col: str, fp_col: str, radius: int) -> DataFrame:
+def _named(rows: DataFrame, id_col: str, fp_col: str, radius: int, tied: DataFrame | None = None) -> DataFrame:
     """node (a distinct fingerprint), least (its least id), component (the least fingerprint reachable)."""
     distinct = rows.groupBy(F.col(fp_col).alias("node")).agg(F.min(id_col).alias("least"))
-    tied = components(links(rows, fp_col, radius))
+    tied = components(links(rows, fp_col, radius)) if tied is None else tied
     return distinct.join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
@@ -217,9 +217,12 @@ def classes(rows: DataFrame, id_col: str = "doc_id", fp_col: str = "fp", radius:
     return rows.join(known, rows[fp_col] == known[node], "left").drop(node)
 
 
-def keep_one(rows: DataFrame, id_col: str = "doc_id", fp_col: str = "fp", radius: int = RADIUS) -> DataFrame:
-    """One row of each component: that with the least id, null ids last; of rows that share id and fingerprint any one."""
+def keep_one(rows: DataFrame, id_col: str = "doc_id", fp_col: str = "fp", radius: int = RADIUS, tied: DataFrame | None = None) -> DataFrame:
+    """One row of each component: that with the least id, null ids last; of rows that share id and fingerprint any one.
+
+    tied: node, component over fingerprints (links within the radius if not given).
+    """
     first, node = fresh(rows, "first_id", "node")
-    chosen = _named(rows, id_col, fp_col, radius).groupBy("component").agg(F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("c"))
+    chosen = _named(rows, id_col, fp_col, radius, tied).groupBy("component").agg(F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("c"))
     chosen = chosen.select(F.col("c.least").alias(first), F.col("c.node").alias(node))
     return rows.join(chosen, (rows[fp_col] == chosen[node]) & rows[id_col].eqNullSafe(chosen[first]), "left_semi").dropDuplicates([fp_col, id_col])
