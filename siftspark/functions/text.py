@@ -54,10 +54,10 @@ def ngrams(normalized: Column, n: int = 3, short_text: bool = True) -> Column:
     return grams(normalized)
 
 
-def char_grams(text: Column, n: int = 3, words: int = 0, most: int = 0) -> Column:
+def char_grams(text: Column, n: int = 3, words: int | None = 0, most: int = 0) -> Column:
     """Character n-grams of the text without spaces, in order, with repeats; a short text is its own gram.
 
-    words: that many leading words come first; most: of the grams that many at most (0: all).
+    words: that many leading words come first (None: all); most: of the grams that many at most (0: all).
     """
     n = max(1, n)
 

@@ -117,10 +117,10 @@ def chunked_jaccard(docs: DataFrame, threshold: float = 0.8, workers: int = 4, n
     return again.unionByName(done.where("not kept"))
 
 
-def minhash_lsh(docs: DataFrame, threshold: float = 0.8, num_perm: int = 128, n: int = 3, words: int = 0, most: int = 0, order_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def minhash_lsh(docs: DataFrame, threshold: float = 0.8, num_perm: int = 128, n: int = 3, words: int | None = 0, most: int = 0, order_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicates that share a band of their MinHash; not verified, so similarity is null.
 
-    words: that many leading words go into the sketch, most: and that many grams at most (0: all).
+    words: that many leading words go into the sketch (None: all), most: and that many grams at most (0: all).
     """
     b, r = sketch.area_bands(threshold, num_perm)
     grams = text.char_grams(text.normalize(F.coalesce(F.col(text_col), F.lit(""))), n, words, most)

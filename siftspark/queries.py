@@ -130,7 +130,7 @@ def dedup_minhash_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dedup_ours_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.text_pipeline(table(spark, sf_dir, "documents").select("doc_id", "text"), "ours_lsh").select("doc_id", "kept", "original")
+    return dedup.minhash_lsh(table(spark, sf_dir, "documents").select("doc_id", "text"), words=None).select("doc_id", "kept", "original")
 
 
 @query()

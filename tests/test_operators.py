@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from siftspark import queries
 from siftspark.functions import text
 from siftspark.operators import dedup, fold, lookup, resolve, semdedup, similarity, stats
 
@@ -87,6 +88,14 @@ def test_text_dedup_of_empty_and_equal_texts(spark):
         dedup.text_pipeline(docs, "other")
 
 
+def test_ours_lsh_reads_whole_texts(spark, tmp_path):
+    start, rest = ([" ".join(f"{c}{i * i % 9973}" for i in range(n)) for c in cs] for cs, n in (("a", 250), ("bcd", 900)))
+    # one opening before different texts; one text after different openings
+    texts = [f"{start[0]} {rest[0]}", f"{start[0]} {rest[1]}", " ".join(f"e{i}" for i in range(20)) + f" {rest[2] * 4}", " ".join(f"f{i}" for i in range(20)) + f" {rest[2] * 4}"]
+    frame(spark, list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((r["doc_id"], r["kept"], r["original"]) for r in queries.dedup_ours_lsh(spark, str(tmp_path)).collect()) == [(0, True, None), (1, True, None), (2, True, None), (3, False, 2)]
+
+
 def test_window_forgets(spark):
     docs = frame(spark, [(1, "alpha beta gamma delta"), (2, "one two three four"), (3, "alpha beta gamma delta")], "doc_id long, text string")
     assert kept_of(dedup.windowed_jaccard(docs, 0.8, window=1), "doc_id") == [1, 2, 3]
