@@ -17,8 +17,11 @@ def get_session(app: str = "siftspark", **conf: str) -> SparkSession:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """checkpoint() to the folder in spark.checkpoint.dir; to one of our own only where that is unset."""
+    """checkpoint() to the folder in spark.checkpoint.dir; to one of our own only where that is unset, on local masters."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftspark-"))
+        folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+        if not folder and master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="siftspark-"))
     return df.checkpoint()
