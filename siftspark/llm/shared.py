@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +25,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ROWS_KEY, BYTES_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker holds at once: few rows a batch, and few bytes where Spark can count them."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Bounds what a Python worker holds at once: few rows a batch, and few bytes where Spark can count them.
+
+    Settings are only ever lowered, and stay so: plans that Spark runs later need them, and no plan needs larger batches.
+    """
+    for key, most in ((ROWS_KEY, BATCH_ROWS), (BYTES_KEY, 16 << 20)):
+        with suppress(ValueError):
+            if 0 < int(spark.conf.get(key).rstrip("bB")) <= most:
+                continue
+        spark.conf.set(key, str(most))
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Another number of rows a batch, for what runs (not only is planned) inside; the setting before comes back."""
+    before = spark.conf.get(ROWS_KEY, None)
+    spark.conf.set(ROWS_KEY, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(ROWS_KEY) if before is None else spark.conf.set(ROWS_KEY, before)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +60,8 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(folder)
         return folder.rstrip("/")
     if context.getCheckpointDir() is None:
+        if not context.master.startswith(("local[", "local ")) and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="siftspark-"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -44,6 +69,8 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     path = f"{shared_dir(spark)}/siftspark-{uuid.uuid4().hex}-{name}"
+    if not _made:
+        atexit.register(_at_exit, spark)
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
@@ -56,6 +83,11 @@ def release_scratch(spark: SparkSession) -> None:
         place.getFileSystem(hadoop).delete(place, True)
 
 
+def _at_exit(spark: SparkSession) -> None:
+    with suppress(Exception):  # the session may have ended before
+        release_scratch(spark)
+
+
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, and later plans know its size."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)

@@ -7,6 +7,12 @@ the same. Only anchors whose hash is found twice can matter. For the anchors of
 agree go to blind tries. Neighbours in these orders have the longest common extensions: merging from the deepest common
 suffix up, each anchor meets the best partner for every depth, and the farthest reach of the partners whose left and
 right extensions make up `length` bytes is what goes around it.
+
+A hash with very many anchors is not ordered by one task. Its anchors are dealt into groups that agree on the bytes at
+once to their left and right, in steps: a pair with a left extension of s to s + step - 1 bytes agrees on s bytes to the
+left and on length - s - step + 1 to the right, so it meets in the group of s. Groups that are small enough are ordered
+as above; those still too large are dealt again with steps of one byte. A group then is the same `length` bytes over and
+over, its order is known without a look, and each of its strings goes if there are two.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftspark.llm.shared import BATCH_ROWS, fresh, small_batches, stored
+from siftspark.llm.shared import BATCH_ROWS, batch_rows, fresh, small_batches, stored
 
 LENGTH = 400
 #: Bytes that an anchor's hash covers.
@@ -29,8 +35,10 @@ GRAM = 32
 SHALLOW = 48
 #: Bytes of a text that are hashed at a time.
 PIECE = 1 << 19
-#: Anchors of one hash that one task orders. Beyond it windows are counted one by one, in any number of tasks.
-GROUP_LIMIT = 150_000
+#: Anchors that one task orders together; larger groups are dealt into narrower ones.
+GROUP_LIMIT = 1024
+#: Bytes of left extension that share a group when a hash has too many anchors.
+STEP = 24
 
 
 # ---- anchors -----------------------------------------------------------------------------------------------------
@@ -300,14 +308,20 @@ def _removed(length: int) -> Callable:
     return run
 
 
-def _windows(length: int) -> Callable:
-    """A row for each string of `length` bytes that holds an anchor: hash, text and where it starts."""
+def _narrower(length: int, step: int, width: int) -> Callable:
+    """A row for each group that an anchor belongs to. Groups are told by the least left extension: those from `part` on
+    (of a row) in a range of `width` bytes, `step` apart. The group's hash covers the bytes that its members agree on."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for k, at, around, back in zip(frame["k"], frame["at"], frame["around"], frame["back"], strict=True):
-                starts = range(0, min(back, len(around) - length) + 1)
-                yield pd.DataFrame({"w": [hashlib.blake2b(around[s : s + length], digest_size=16).digest() for s in starts], "k": k, "low": [at - back + s for s in starts]})
+            rows = []
+            for k, at, around, back, part in zip(frame["k"], frame["at"], frame["around"], frame["back"], frame["part"], strict=True):
+                ahead = len(around) - back
+                for s in range(part, min(part + width, length - GRAM + 1, back + 1), step):
+                    right = max(GRAM, length - s - step + 1)
+                    if right <= ahead:
+                        rows.append((hashlib.blake2b(around[back - s : back + right], digest_size=16, salt=s.to_bytes(8, "big")).digest(), k, at, s))
+            yield pd.DataFrame(rows, columns=["g", "k", "at", "part"])
 
     return _batched(run)
 
@@ -354,7 +368,7 @@ def repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", len
     small_batches(spark)
     made = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "runs")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
-    key, size, digest = fresh(docs, "text_key", "text_bytes", "text_sha256")
+    key, size, digest, copied = fresh(docs, "text_key", "text_bytes", "text_sha256", "copied")
     n_tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce(F.col(text_col), F.lit(""))
     # 16 bytes of the SHA-256 are key enough, and half as much to move
@@ -375,25 +389,33 @@ def repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", len
     around = stored(suspects.mapInPandas(_contexts(length), "k binary, at long, h long, around binary, back long, ahead long"), "contexts")
     told = around.where("around is null").select("k", (F.col("at") - F.col("back")).alias("low"), (F.col("at") + F.col("ahead")).alias("high"))
     open_ones = around.where("around is not null")
-    large = open_ones.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > group_limit).select("h")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(16 * BATCH_ROWS))
-    found = open_ones.join(large, "h", "left_anti").repartition(n_tasks, "h").sortWithinPartitions("h").select("k", "at", "h", "around", "back").mapInPandas(_removed(length), "k binary, low long, high long")
-    if large.limit(1).count():
-        windows = open_ones.join(large, "h", "left_semi").select("k", "at", "around", "back").mapInPandas(_windows(length), "w binary, k binary, low long").distinct()
-        again = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
-        found = found.unionByName(windows.join(again, "w").select("k", "low", (F.col("low") + length).alias("high")))
+    many = open_ones.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > group_limit).select("h")
+    order = lambda rows, by: rows.repartition(n_tasks, by).sortWithinPartitions(by).select("k", "at", F.col(by).alias("h"), "around", "back").mapInPandas(_removed(length), "k binary, low long, high long")
+    with batch_rows(spark, 16 * BATCH_ROWS):
+        found = stored(order(open_ones.join(many, "h", "left_anti"), "h"), "spans")
+        if many.limit(1).count():
+            hot = stored(open_ones.join(many, "h", "left_semi").select("k", "at", "around", "back"), "hot-contexts")
+            keys = "g binary, k binary, at long, part long"
+            groups = stored(hot.withColumn("part", F.lit(0).cast("long")).mapInPandas(_narrower(length, STEP, length), keys), "hot-groups")
+            sizes = stored(groups.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "hot-sizes")
+            small = groups.join(sizes.where(F.col("n") <= group_limit).select("g"), "g")
+            found = found.unionByName(stored(order(hot.join(small, ["k", "at"]), "g"), "hot-spans"))
+            wide = groups.join(sizes.where(F.col("n") > group_limit).select("g"), "g").select("k", "at", "part")
+            equal = stored(hot.join(wide, ["k", "at"]).mapInPandas(_narrower(length, 1, STEP), keys), "hot-strings")
+            # counted at two places: places of one text that are the same anchor twice count once
+            again = equal.groupBy("g").agg(F.min(F.xxhash64("k", "at")).alias("low"), F.max(F.xxhash64("k", "at")).alias("high")).where("low < high").select("g")
+            found = found.unionByName(equal.join(again, "g").select("k", (F.col("at") - F.col("part")).alias("low"), (F.col("at") - F.col("part") + length).alias("high")))
     spans = found.unionByName(told).groupBy("k").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
-    small_batches(spark)
     outputs = ("n_removed", "n_spans", "kept_sha256", *(("kept", "runs") if with_kept else ()))
     kinds = {"n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept": "binary", "runs": "array<long>"}
     done = suspects.select("k", "text").join(spans, "k").mapInPandas(_keep(length), "k binary, " + ", ".join(f"{c} {t}" for c, t in kinds.items())).select("k", *outputs).dropDuplicates(["k"])
     # copies go whole; what no span touched stays whole
-    many = copies.where("n > 1").select("k", F.lit(True).alias("copied"))
+    twice = copies.where("n > 1").select("k", F.lit(True).alias(copied))
     # a table of its own, so that Spark can split the rows of a text with very many copies
-    known = stored(done.join(many, "k", "full_outer"), "removed")
+    known = stored(done.join(twice, "k", "full_outer"), "removed")
     n = F.col(size)
     empty = F.sha2(F.lit(""), 256)
-    gone = F.coalesce(F.col("copied"), F.lit(False))
+    gone = F.coalesce(F.col(copied), F.lit(False))
     out = keyed.join(known.withColumnRenamed("k", key), key, "left")
     values = {
         "n_removed": F.when(gone, n).otherwise(F.coalesce("n_removed", F.lit(0))),

@@ -35,8 +35,11 @@ def test_components(spark):
 
 
 def test_bpe_both_ways(spark):
-    docs = documents(spark)
-    out = bpe.encode(docs, PATH, outputs=("n_tokens", "ids", "decoded", "ids_sha256"), leaf=64)
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdeéß'1!<|endoftext>"), int(rng.integers(1, 14))))
+    odd = [" ".join(word() for _ in range(400)), " \n  ".join(word() for _ in range(300)), "x" * 9000, "a" * 130 + " b" * 90, "-" * 700 + "<|endoftext|>" + "é" * 500, "ab " * 100 + "q" * 300, " " * 500, "\t" * 300 + "z"]
+    docs = documents(spark).unionByName(documents(spark, odd))
+    out = bpe.encode(docs, PATH, outputs=("n_tokens", "ids", "decoded", "ids_sha256"), leaf=64, long=100, text_leaf=128)
     own = bpe.codec(PATH)
     rows = out.collect()
     assert len(rows) == docs.count() and set(docs.columns) <= set(out.columns)
@@ -226,7 +229,7 @@ def test_shards_are_even_and_whole(spark):
     assert sharding.spread(documents(spark, []), 5).count() == 0
 
 
-def test_repeats_equal_brute_force(spark):
+def test_repeats_equal_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(9)
     noise = lambda n: "".join(rng.choice(list("abcé"), n))
     passage = noise(150)
@@ -238,7 +241,8 @@ def test_repeats_equal_brute_force(spark):
     for r in rows:
         b = (r["text"] or "").encode()
         count.update(b[i : i + length] for i in range(len(b) - length + 1))
-    for limit in (suffixes.GROUP_LIMIT, 2):
+    for limit, step in ((suffixes.GROUP_LIMIT, suffixes.STEP), (2, suffixes.STEP), (2, 7), (1, 24)):
+        monkeypatch.setattr(suffixes, "STEP", step)
         out = {(r["doc_id"], r["n_bytes"]): r for r in suffixes.repeats(docs, length=length, group_limit=limit).collect()}
         for r in rows:
             b = (r["text"] or "").encode()
@@ -288,7 +292,7 @@ def test_common_lines_deplete_documents(spark):
     spam = " ".join(f"buy{k}" for k in range(70))
     texts = [f"{body(i)}\n{spam} {i:02}" for i in range(12)] + [f"{spam} {i}" for i in range(20, 26)] + [body(99)] * 8 + [None, "", "few words", "a b c " * 40]
     docs = documents(spark, texts).withColumn("source", F.lit("host"))
-    out = {(r["doc_id"], r["n_words"]): r for r in rules.judge(docs, line_limit=10).collect()}
+    out = {(r["doc_id"], r["n_words"]): r for r in rules.judge(docs, line_share=0, line_least=10).collect()}
     for i, t in enumerate(texts):
         r = out[(i, len((t or "").split()))]
         assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == rules.measures(t or "")
@@ -300,5 +304,8 @@ def test_common_lines_deplete_documents(spark):
             assert r["kept"] and r["words_left"] == 60  # eight copies of one text count once
         else:
             assert r["base_failed"] and not r["kept"]
-    assert all(r["words_left"] == r["n_words"] for r in rules.judge(docs, line_limit=1000).collect())
+    assert all(r["words_left"] == r["n_words"] for r in rules.judge(docs, line_share=0.9).collect())
     assert rules.judge(documents(spark, [])).count() == 0
+    cleaned = rules.clean(docs, rules.common_lines(docs, line_share=0, line_least=10)).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"], len((r["text"] or "").split())) for r in cleaned if r["doc_id"] is not None) == sorted((False, i, r["words_left"]) for (i, _), r in out.items() if i is not None for _ in range(sum(d["doc_id"] == i for d in cleaned)))
+    assert [r["text"] for r in cleaned if r["doc_id"] == 26] == [None]
