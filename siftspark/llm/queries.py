@@ -53,8 +53,12 @@ def op5_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    rows = stored(mixing.measured(docs).drop("text"), "sizes")
-    return mixing.plan(rows, n_shards=SHARDS).select("doc_id", "size", "source_size", "target", "taken")
+    rows = stored(mixing.measured(docs).drop("text").withColumn("row_no", F.monotonically_increasing_id()), "sizes")
+    planned = stored(mixing.plan(rows, n_shards=SHARDS), "planned")
+    mixture = stored(mixing.draw(planned.select("row_no", "size", "mix_key", "shards")), "mixture")
+    taken = mixture.groupBy("row_no").agg(F.sum("size").alias("taken"), F.array_sort(F.collect_list("shard")).alias("shards"))
+    own = planned.select("row_no", "doc_id", "size", "source_size", "target")
+    return own.join(taken, "row_no", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +83,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left"
     )
 
 
@@ -118,21 +122,26 @@ FROM docs LEFT JOIN spans USING (doc_id)"""
 
 OP10_SQL = rf"""
 WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
-  words AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(t, '[^ 	-]+') AS w FROM docs)),
+  words AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(t, '[^ 	-
+]+') AS w FROM docs)),
   threes AS (SELECT *, lead(w, 1) OVER v AS w1, lead(w, 2) OVER v AS w2 FROM words WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
   again AS (SELECT *, w2 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, w, w1, w2) > 1 AS r FROM threes),
   covered AS (SELECT *, r OR coalesce(lag(r, 1) OVER v, false) OR coalesce(lag(r, 2) OVER v, false) AS c FROM again WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
   by_word AS (SELECT doc_id, count(*) AS n_words, sum(length(w))::BIGINT AS word_chars, count(*) FILTER (c) AS n_repeat_words FROM covered GROUP BY doc_id),
   lines AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS l FROM docs),
-  full_lines AS (SELECT *, translate(lower(trim(regexp_replace(l, '[ 	-]+', ' ', 'g'))), '123456789', '000000000') AS folded, len(regexp_extract_all(l, '[^ 	-]+')) AS n FROM lines WHERE regexp_matches(l, '[^ 	-]')),
+  full_lines AS (SELECT *, translate(lower(trim(regexp_replace(l, '[ 	-
+]+', ' ', 'g'))), '123456789', '000000000') AS folded, len(regexp_extract_all(l, '[^ 	-
+]+')) AS n FROM lines WHERE regexp_matches(l, '[^ 	-
+]')),
   by_line AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM full_lines GROUP BY doc_id),
-  common AS (SELECT source, folded FROM full_lines GROUP BY 1, 2 HAVING count(DISTINCT t) > {rules.LINE_LIMIT}),
+  hosts AS (SELECT source AS host, count(DISTINCT t) AS texts FROM docs GROUP BY 1),
+  common AS (SELECT source, folded FROM full_lines JOIN hosts ON source IS NOT DISTINCT FROM host GROUP BY 1, 2 HAVING count(DISTINCT t) > {rules.LINE_LEAST} AND count(DISTINCT t) > {rules.LINE_SHARE} * any_value(texts)),
   lost AS (SELECT doc_id, sum(n)::BIGINT AS lost FROM full_lines f JOIN common c ON f.folded = c.folded AND f.source IS NOT DISTINCT FROM c.source GROUP BY doc_id),
   told AS (SELECT docs.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost, 0) AS lost
     FROM docs LEFT JOIN by_word USING (doc_id) LEFT JOIN by_line USING (doc_id) LEFT JOIN lost USING (doc_id)),
   base AS (SELECT *, n_words < {rules.LEAST_WORDS} OR 100 * n_repeat_words > {rules.REPEATED_PERCENT} * n_words AS base_failed FROM told)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND n_words - lost >= {rules.LEAST_WORDS} AND n_words - lost >= {1 - rules.DEPLETED_SHARE} * n_words AS kept FROM base"""
+  NOT base_failed AND n_words - lost >= {rules.LEAST_WORDS} AND n_words - lost >= {1 - rules.DEPLETED_SHARE} * n_words AS kept, n_words - lost AS words_left FROM base"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,8 +1,9 @@
 """Quality rules from the frequency of lines across documents.
 
 Lines are normalised (white space and case folded, digits made equal) and hashed. For each host the distinct texts that
-hold a line are counted; copies of one text count once. Lines above the limit are removed, and a document that has lost
-too much, or fails the base rules, is rejected.
+hold a line are counted; copies of one text count once, so that a page with many copies does not make its own lines
+common. Lines above the limit, a share of the host's texts, are removed, and a document that has lost too much, or fails
+the base rules, is rejected.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from siftspark.llm.shared import fresh, small_batches, stored
 
-#: A line found in more distinct texts of its host than this is boilerplate.
-LINE_LIMIT = 200
+#: A line is boilerplate if it is found in more than this share of its host's distinct texts, and in more than so many.
+LINE_SHARE, LINE_LEAST = 0.1, 5
 #: A document is depleted if boilerplate lines held more than this share of its words ...
 DEPLETED_SHARE = 0.5
 #: ... or if fewer words than this are left.
@@ -90,57 +91,77 @@ def _measure(frames: Iterator[pd.DataFrame], at: int) -> Iterator[pd.DataFrame]:
         yield out
 
 
+def host_of(host_col: str) -> object:
+    return F.xxhash64(F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit("\0")))
+
+
+def _measured(docs: DataFrame, host_col: str, text_col: str, names: list[str]) -> DataFrame:
+    """docs without the text, with measures, the text's key, its lines' hashes and words, and the host's key: written once."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != text_col)
+    numbers = ", ".join(f"{n} long" for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+    told = docs.mapInPandas(lambda x: _measure(x, at), f"{fields}{numbers}, text_key binary, lines array<long>, line_words array<long>")
+    return stored(told.withColumn(names[0], host_of(host_col)), "lines")
+
+
+def _common(rows: DataFrame, host: str, line_share: float, line_least: int) -> DataFrame:
+    """host_key, line: lines above their host's limit. rows: from _measured()."""
+    # a text counts once for a host, however many copies it has
+    texts = rows.select(F.col(host).alias("host_key"), "text_key", "lines").dropDuplicates(["host_key", "text_key"])
+    found = texts.select("host_key", F.explode("lines").alias("line")).groupBy("host_key", "line").agg(F.count("*").alias("n")).where(F.col("n") > line_least)
+    hosts = texts.groupBy("host_key").agg((F.count("*") * F.lit(line_share)).alias("most"))
+    # its size is known once it is stored, so Spark broadcasts it only if it is small
+    return stored(found.join(hosts, "host_key").where(F.col("n") > F.col("most")).select("host_key", "line"), "common-lines")
+
+
 def judge(
-    docs: DataFrame, host_col: str = "source", text_col: str = "text", line_limit: int = LINE_LIMIT,
+    docs: DataFrame, host_col: str = "source", text_col: str = "text", line_share: float = LINE_SHARE, line_least: int = LINE_LEAST,
     depleted_share: float = DEPLETED_SHARE, least_words: int = LEAST_WORDS, repeated_percent: int = REPEATED_PERCENT,
 ) -> DataFrame:
     """A row for each row of docs: its columns but the text, the five measures, base_failed, words_left and kept.
 
     Null texts count as empty (and fail). Rows with a null host are one host. Columns of docs that clash with these
-    names give way. The measured table is written once to the shared folder and read for both counts.
+    names give way, whatever others are called. The measured table is written once to the shared folder and read for
+    both counts.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_key", "lines", "line_words", "base_failed", "words_left", "kept"}
     docs = docs.drop(*[c for c in docs.columns if c.lower() in made - {text_col.lower(), host_col.lower()}])
-    at = docs.columns.index(text_col)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col)
-    numbers = ", ".join(f"{n} long" for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
-    host = F.xxhash64(F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit("\0")))
-    rows = stored(
-        docs.mapInPandas(lambda x: _measure(x, at), f"{fields}, {numbers}, text_key binary, lines array<long>, line_words array<long>"), "lines"
-    ).withColumn("_host", host)
-
-    # a text counts once for a host, however many copies it has
-    texts = rows.select("_host", "text_key", "lines").dropDuplicates(["_host", "text_key"])
-    common = stored(
-        texts.select("_host", F.explode("lines").alias("line")).groupBy("_host", "line").agg(F.count("*").alias("n")).where(F.col("n") > line_limit).select("_host", "line"),
-        "common-lines",
-    )
-    # its size is known now, so Spark broadcasts it only if it is small
+    host, gone = fresh(docs, "host_key", "words_lost")
+    rows = _measured(docs, host_col, text_col, [host])
+    common = _common(rows, host, line_share, line_least)
     lost = (
-        rows.select("_host", "text_key", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
-        .select("_host", "text_key", F.col("x.lines").alias("line"), F.col("x.line_words").alias("w"))
-        .join(common, ["_host", "line"])
-        .select("_host", "text_key", "line", "w").distinct()
-        .groupBy("_host", "text_key").agg(F.sum("w").alias("_lost"))
+        rows.select(F.col(host).alias("host_key"), "text_key", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
+        .select("host_key", "text_key", F.col("x.lines").alias("line"), F.col("x.line_words").alias("w"))
+        .join(common, ["host_key", "line"])
+        .select("host_key", "text_key", "line", "w").distinct()
+        .groupBy("host_key", "text_key").agg(F.sum("w").alias(gone)).withColumnRenamed("host_key", host)
     )
     base = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeated_percent * F.col("n_words"))
     return (
-        rows.drop("lines", "line_words").join(lost, ["_host", "text_key"], "left")
+        rows.drop("lines", "line_words").join(lost, [host, "text_key"], "left")
         .withColumn("base_failed", base)
-        .withColumn("words_left", F.col("n_words") - F.coalesce("_lost", F.lit(0)))
+        .withColumn("words_left", F.col("n_words") - F.coalesce(gone, F.lit(0)))
         .withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= least_words) & (F.col("words_left") >= (1 - depleted_share) * F.col("n_words")))
-        .drop("_host", "text_key", "_lost")
+        .drop(host, "text_key", gone)
     )
 
 
+def common_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", line_share: float = LINE_SHARE, line_least: int = LINE_LEAST) -> DataFrame:
+    """host_key, line (hashes): the lines that judge() counts as lost and clean() removes."""
+    both = docs.select(F.col(f"`{host_col}`").alias("host"), F.col(f"`{text_col}`").alias("text"))
+    return _common(_measured(both, "host", "text", ["host_key"]), "host_key", line_share, line_least)
+
+
 def clean(docs: DataFrame, common: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs without the lines of common (host, line hash): the texts that judge() counts words_left of."""
+    """docs without the lines of common (from common_lines()): the texts that judge() counts words_left of.
+
+    Lines without words stay, and so do null texts.
+    """
     small_batches(docs.sparkSession)
-    (key,) = fresh(docs, "host_key")
-    host = F.xxhash64(F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit("\0")))
-    lists = common.groupBy("_host").agg(F.collect_set("line").alias(f"{key}_lines"))
+    key, gone = fresh(docs, "host_key", "gone_lines")
+    # a line counts only if over a share of its host's texts hold it, so a host's list is short
+    lists = common.groupBy(F.col("host_key").alias(key)).agg(F.collect_set("line").alias(gone))
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, lines: pd.Series) -> pd.Series:
@@ -152,4 +173,4 @@ def clean(docs: DataFrame, common: DataFrame, host_col: str = "source", text_col
 
         return pd.Series([one(t, g) for t, g in zip(texts, lines, strict=True)])
 
-    return docs.withColumn(key, host).join(lists.withColumnRenamed("_host", key), key, "left").withColumn(text_col, without(text_col, f"{key}_lines")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.withColumn(key, host_of(host_col)).join(lists, key, "left").withColumn(text_col, without(text_col, gone)).select(*[F.col(f"`{c}`") for c in docs.columns])
