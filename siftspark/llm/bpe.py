@@ -1,12 +1,13 @@
 """BPE encoding and decoding with tree concatenation.
 
 A text splits into chunks at ASCII white space, and a chunk into units at the tokenizer's own boundaries; no merge
-crosses them. Units of up to LEAF characters are encoded whole. A longer unit is cut into leaves that are encoded in
-parallel (rows of their own, dealt over the cluster); then neighbours are joined pair by pair up a tree. At a join only
-a window around the cut is encoded again, from the end of the left part to the start of the right one. It grows until
-its first token is the one that stood there on the left and its last token the one that stood there on the right. Every
-adjacent pair of tokens is then one that some exact encoding contains, and a token sequence whose adjacent pairs all
-are is the exact encoding of its string.
+crosses them. A long text is cut into leaves of a fixed length, wherever that falls, which are encoded in parallel (rows
+of their own, dealt over the cluster). At a join only a window around the cut is encoded again, from the end of the left
+part to the start of the right one. It grows until its first part is the one that stood there on the left and its last
+the one that stood there on the right. In a run of ordinary text the parts are chunks; in a unit longer than a leaf
+(text that nothing splits) they are tokens: every adjacent pair of tokens is then one that some exact encoding contains,
+and a token sequence whose adjacent pairs all are is the exact encoding of its string. All joins of a text are rows too
+and made side by side, each from the ends of its leaves; a join whose ends were too short to agree is made up the tree.
 """
 
 from __future__ import annotations
@@ -25,8 +26,12 @@ from siftspark.llm.shared import fresh, small_batches, stored
 
 #: Longest unit that is encoded whole, in characters of the byte-level alphabet.
 LEAF = 2048
+#: Texts above LONG characters are cut into leaves of TEXT_LEAF or more.
+LONG, TEXT_LEAF = 16_384, 8_192
 #: Tokens on each side of a cut that are first encoded again.
 WINDOW = 8
+#: Parts (chunks or tokens) of a leaf's end that a join sees at most.
+CHUNK_ENDS, TOKEN_ENDS = 4, 64
 #: Chunks and units that a worker remembers. Of a full memory one older generation is kept, so a worker's memory is bounded.
 REMEMBER = 100_000
 #: Longest chunk that is remembered.
@@ -38,6 +43,9 @@ PLAIN = "ɐ"
 UNITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 
 
+SPACES = regex.compile(r"[\x20\x09-\x0D]+")
+
+
 def byte_letters() -> dict[int, str]:
     """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the rest for letters from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -198,22 +206,23 @@ def row_of(ids: str, decoded: str, n: int) -> tuple:
 FIELDS = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "ids": "string", "decoded": "string"}
 
 
-def long_run(text: Column, leaf: int = LEAF) -> Column:
-    """Whether a text has a run without ASCII white space that may hold a unit longer than a leaf."""
-    return F.coalesce(text.rlike(rf"[^\x20\x09-\x0D]{{{leaf // 4},}}+"), F.lit(False))
-
-
-def encode(docs: DataFrame, path: str, text_col: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids"), leaf: int = LEAF, with_text: bool = True) -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, text_col: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids"), leaf: int = LEAF, with_text: bool = True,
+    long: int = LONG, text_leaf: int = TEXT_LEAF,
+) -> DataFrame:
     """docs with the outputs as further columns: one row for each row of docs, columns of docs untouched. Without
     with_text the text goes, and is not carried back from the workers.
 
     outputs: of n_tokens (long), ids (decimal ids joined by spaces), decoded (text), ids_sha256 and decoded_sha256
     (lower-case hex). A column of docs with an output's name gives way to it. Null and empty texts have no tokens.
-    Texts with runs of over leaf / 4 characters go another way: each distinct one is cut into pieces, pieces into
-    leaves; leaves are encoded wherever there is room and joined by text.
+    Texts of over `long` characters are encoded by leaves: each distinct one is cut, leaves and joins go wherever there
+    is room, and what they give is put together by text. Shorter texts are encoded by one worker, units over LEAF
+    characters in them up a tree of their own.
     """
     spark = docs.sparkSession
     small_batches(spark)
+    # chunks of ordinary text are under leaf / 4 characters, so half a text leaf holds enough of them for its joins
+    text_leaf = max(text_leaf, 2 * leaf)
     docs = docs.drop(*[c for c in docs.columns if c.lower() in outputs])
     columns = docs.columns
     carried = [f for f in docs.schema if with_text or f.name != text_col]
@@ -230,64 +239,70 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", outputs: tuple[st
                 frame[c] = [r[k] for r in rows]
             yield frame
 
-    is_long = long_run(F.col(text_col), leaf)
+    is_long = F.coalesce(F.length(F.col(text_col)) > long, F.lit(False))
     short = docs.where(~is_long).mapInPandas(plain, out_schema)
 
     (key,) = fresh(docs, "text_key")
     far = docs.where(is_long).withColumn(key, F.sha2(F.col(text_col), 256))
-    leaves = stored(
-        far.select(F.col(key).alias("k"), F.col(text_col).alias("t")).dropDuplicates(["k"]).mapInPandas(_cut(path, leaf), "k string, piece long, leaf long, last boolean, s string"),
-        "bpe-leaves",
-    )
+    texts = far.select(F.col(key).alias("k"), F.col(text_col).alias("t")).dropDuplicates(["k"])
+    cuts = stored(texts.mapInPandas(_cut(path, leaf, text_leaf), "k string, piece long, leaf long, kind int, last boolean, s string"), "bpe-leaves")
     n_tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    done = leaves.repartition(n_tasks, "k", "piece", "leaf").mapInPandas(_leaf(path), "k string, piece long, leaf long, last boolean, ids array<int>")
-    whole = done.groupBy("k").applyInPandas(_assemble(path), "k string, " + ", ".join(f"{c} {FIELDS[c]}" for c in FIELDS))
+    leaves = stored(cuts.repartition(n_tasks, "k", "piece", "leaf").mapInPandas(_leaf(path), f"k string, piece long, leaf long, kind int, last boolean, ids array<int>, head {END}, tail {END}"), "bpe-tokens")
+    ends = ["k", "piece", "leaf", "kind"]
+    right = leaves.where("leaf > 0").select("k", "piece", (F.col("leaf") - 1).alias("leaf"), F.col("head").alias("right"))
+    joins = leaves.where("kind <> 1").select(*ends, F.col("tail").alias("left")).join(right, ["k", "piece", "leaf"]).mapInPandas(_join(path), "k string, piece long, leaf long, kind int, drop_left int, drop_right int, mid array<int>")
+    rows = leaves.select(*ends, "ids", F.lit(None).cast("int").alias("drop_left"), F.lit(None).cast("int").alias("drop_right")).unionByName(
+        joins.select("k", "piece", "leaf", F.lit(JOIN).alias("kind"), F.col("mid").alias("ids"), "drop_left", "drop_right")
+    )
+    whole = rows.groupBy("k").applyInPandas(_assemble(path), "k string, " + ", ".join(f"{c} {FIELDS[c]}" for c in FIELDS))
     joined = far.join(whole.select(F.col("k").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in outputs]), key).select(
         *[F.col(f"`{f.name}`") for f in carried], *[F.col(f"{key}_{c}").alias(c) for c in outputs]
     )
     return short.unionByName(joined)
 
 
-def _cut(path: str, leaf: int) -> Callable:
-    """Pieces of a text: runs of ordinary chunks as text (leaf -1), special ids (leaf -2), long units as leaves."""
+#: Kinds of leaf rows: of ordinary text, a special token, of a long unit; and a join.
+TEXT, SPECIAL, UNIT, JOIN = 0, 1, 2, 3
+#: An end of a leaf: for text the characters of its outermost chunks and how many tokens each has; for a unit its tokens.
+END = "struct<s: string, n: array<int>>"
+
+
+def even_cuts(text: str, size: int) -> list[str]:
+    """Parts of size characters; a rest of under half a part stays with the last one."""
+    n = max(1, (len(text) + size // 2) // size)
+    return [text[i * size : (i + 1) * size if i < n - 1 else len(text)] for i in range(n)]
+
+
+def _cut(path: str, leaf: int, text_leaf: int) -> Callable:
+    """Pieces of a text: runs of ordinary chunks, cut anywhere; special tokens as ids; long units."""
+    columns = ["k", "piece", "leaf", "kind", "last", "s"]
+    longer = regex.compile(rf"[^\x20\x09-\x0D]{{{max(1, leaf // 4)},}}")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(path)
 
-        def pieces(text: str) -> Iterator[tuple[int, bool, str]]:
-            calm, size = [], 0
-            for chunk in regex.finditer(r"[^\x20\x09-\x0D]+", text):
-                if len(chunk[0]) * 4 < leaf:
-                    calm.append(chunk[0])
-                    size += len(chunk[0])
-                    if size > 16 * leaf:
-                        yield -1, True, " ".join(calm)
-                        calm, size = [], 0
-                    continue
-                if calm:
-                    yield -1, True, " ".join(calm)
-                    calm, size = [], 0
-                for unit in own.split(chunk[0]):
-                    if isinstance(unit, int):
-                        yield -2, True, str(unit)
-                    else:
-                        for i in range(0, len(unit), leaf):
-                            yield i // leaf, i + leaf >= len(unit), unit[i : i + leaf]
-            if calm:
-                yield -1, True, " ".join(calm)
+        def pieces(text: str) -> Iterator[tuple[int, list[str]]]:
+            at = 0
+            for m in longer.finditer(text):
+                if calm := " ".join(SPACES.split(text[at : m.start()])).strip(" "):
+                    yield TEXT, even_cuts(calm, text_leaf)
+                for unit in own.split(m[0]):
+                    yield (SPECIAL, [str(unit)]) if isinstance(unit, int) else (UNIT, even_cuts(unit, leaf))
+                at = m.end()
+            if calm := " ".join(SPACES.split(text[at:])).strip(" "):
+                yield TEXT, even_cuts(calm, text_leaf)
 
         for frame in frames:
             for k, text in zip(frame["k"], frame["t"], strict=True):
-                rows, piece = [], 0
-                for n, last, s in pieces(text):
-                    rows.append((k, piece, n, last, s))
-                    piece += last
+                rows, piece = [], -1
+                for piece, (kind, parts) in enumerate(pieces(text)):
+                    rows += [(k, piece, i, kind, i == len(parts) - 1, s) for i, s in enumerate(parts)]
                     if len(rows) >= 1024:
-                        yield pd.DataFrame(rows, columns=["k", "piece", "leaf", "last", "s"])
+                        yield pd.DataFrame(rows, columns=columns)
                         rows = []
                 # a text without tokens still has a row
-                rows.append((k, piece, -1, True, ""))
-                yield pd.DataFrame(rows, columns=["k", "piece", "leaf", "last", "s"])
+                rows.append((k, piece + 1, 0, TEXT, True, ""))
+                yield pd.DataFrame(rows, columns=columns)
 
     return run
 
@@ -296,24 +311,95 @@ def _leaf(path: str) -> Callable:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(path)
 
-        def ids(n: int, last: bool, s: str) -> list[int]:
-            if n == -2:
-                return [int(s)]
-            return [i for c in s.split(" ") for i in own.chunk(c)] if n == -1 else own.encode_part(s, last)
+        def told(kind: int, last: bool, s: str) -> tuple:
+            if kind == SPECIAL:
+                return [int(s)], None, None
+            if kind == UNIT:
+                ids = own.encode_part(s, last)
+                most = min(TOKEN_ENDS, len(ids) // 2)
+                return ids, {"s": None, "n": ids[:most]}, {"s": None, "n": ids[len(ids) - most :]}
+            chunks = s.split(" ")
+            each = [own.chunk(c) if c else [] for c in chunks]
+            # ends must not meet, or two joins would change the same tokens
+            most = min(CHUNK_ENDS, len(chunks) // 2)
+            end = lambda low, high: {"s": " ".join(chunks[low:high]), "n": [len(x) for x in each[low:high]]}
+            return [i for x in each for i in x], end(0, most), end(len(chunks) - most, len(chunks))
 
         for frame in frames:
-            frame["ids"] = [ids(n, last, s) for n, last, s in zip(frame["leaf"], frame["last"], frame["s"], strict=True)]
-            yield frame.drop(columns="s")
+            rows = [told(*x) for x in zip(frame["kind"], frame["last"], frame["s"], strict=True)]
+            frame = frame.drop(columns="s")
+            for i, c in enumerate(("ids", "head", "tail")):
+                frame[c] = [r[i] for r in rows]
+            yield frame
+
+    return run
+
+
+def _join(path: str) -> Callable:
+    """What each join changes: tokens that go at the end of the left leaf and the start of the right one, and those that
+    take their place. Null where the ends did not agree."""
+
+    def of_unit(own: Codec, left: list[int], right: list[int]) -> tuple:
+        k = WINDOW
+        while left and right:
+            i, j = max(0, len(left) - k), min(len(right), k)
+            mid = own.encode_part(own.surface(left[i:]) + own.surface(right[:j]), False)
+            if mid[0] == left[i] and mid[-1] == right[j - 1]:
+                return len(left) - i, j, mid
+            if i == 0 and j == len(right):
+                break
+            k *= 2
+        return None, None, None
+
+    def of_text(own: Codec, left: dict, right: dict) -> tuple:
+        (a, b), k = (x["s"].split(" ") if len(x["n"]) else [] for x in (left, right)), 1
+        while a and b:
+            i, j = max(0, len(a) - k), min(len(b), k)
+            window = (" ".join(a[i:]) + " ".join(b[:j])).split(" ")
+            # outermost chunks that the cut did not touch stand as they stood
+            if window[0] == a[i] and window[-1] == b[j - 1] and len(window) > 1:
+                mid = [t for c in window if c for t in own.chunk(c)]
+                return int(sum(left["n"][i:])), int(sum(right["n"][:j])), mid
+            if i == 0 and j == len(b):
+                break
+            k *= 2
+        return None, None, None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = codec(path)
+        for frame in frames:
+            rows = []
+            for kind, left, right in zip(frame["kind"], frame["left"], frame["right"], strict=True):
+                rows.append(of_text(own, left, right) if kind == TEXT else of_unit(own, [int(x) for x in left["n"]], [int(x) for x in right["n"]]))
+            out = frame[["k", "piece", "leaf", "kind"]].copy()
+            for i, c in enumerate(("drop_left", "drop_right")):
+                out[c] = pd.array([r[i] for r in rows], dtype="Int32")
+            out["mid"] = [r[2] for r in rows]
+            yield out
 
     return run
 
 
 def _assemble(path: str) -> Callable:
+    """A text's tokens from its leaves and joins. Only here the whole row stands, as it will in the result."""
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         own = codec(path)
         out: list[int] = []
-        for _, piece in frame.sort_values(["piece", "leaf"]).groupby("piece", sort=True):
-            out += join_tree([list(map(int, x)) for x in piece["ids"]], own.surface, own.encode_part)
+        for _, piece in frame.sort_values(["piece", "leaf"], kind="stable").groupby("piece", sort=True):
+            cuts, own_rows = piece[piece["kind"] == JOIN], piece[piece["kind"] != JOIN]
+            parts = [list(map(int, x)) for x in own_rows["ids"]]
+            kind = own_rows["kind"].iloc[0]
+            if cuts["drop_left"].isna().any():
+                if kind == TEXT:
+                    raise ValueError("a leaf of ordinary text has too few chunks to join")
+                # ends of a unit's leaves that did not agree: wider windows, over the whole leaves
+                out += join_tree(parts, own.surface, own.encode_part)
+                continue
+            for at, left, right, mid in zip(cuts["leaf"], cuts["drop_left"], cuts["drop_right"], cuts["ids"], strict=True):
+                del parts[at][len(parts[at]) - int(left) :]
+                parts[at + 1] = [*map(int, mid), *parts[at + 1][int(right) :]]
+            out += [t for p in parts for t in p]
         row = row_of(" ".join(map(str, out)), own.decode(out), len(out))
         return pd.DataFrame([(frame["k"].iloc[0], *row)], columns=["k", *FIELDS])
 
