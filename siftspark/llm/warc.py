@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.llm.shared import fresh, scratch
+from siftspark.llm.shared import batch_rows, scratch, small_batches, stored
 
 #: Fixed values of the format (WARC 1.1).
 VERSION = "WARC/1.1"
@@ -25,8 +25,9 @@ END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIELD_LINE = "\r\n"
 
-#: Rows of an archive at most; archives are read whole, so this bounds what a task holds.
-ARCHIVE_ROWS = 3 * 1024
+#: Tiers of payload bytes (up to, the last without end) and captures of an archive in each. Archives are read whole, so
+#: this bounds what a task holds: 128 MB, or a single larger payload.
+TIERS = ((128 << 10, 1024), (2 << 20, 64), (None, 1))
 
 
 def base32_sha1(binary: Column) -> Column:
@@ -48,14 +49,25 @@ def write(pages: DataFrame, path: str | None = None, id_col: str = "page_id", ur
     revisits of it; all other rows are responses. Null html is an empty payload; a null id is smaller than any other
     and leaves its field out, as does a null url. Repeated rows are captures of their own, of the same type.
     """
-    spark = pages.sparkSession
-    path = path or scratch(spark, "warc")
+    path = path or scratch(pages.sparkSession, "warc")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(F.col(url_col), r"[\r\n]", "").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("payload"))
-    rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("check", F.xxhash64("payload"))
-    firsts = rows.where(F.col("size") >= least_bytes).groupBy("digest", "size", "check").agg(F.max("id").alias("first"))
-    known = rows.join(firsts, ["digest", "size", "check"], "left")
-    revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    told = known.withColumn("refers_to", F.when(revisit, F.col("first"))).withColumn("me", F.uuid())
+    rows, low = rows.withColumn("size", F.octet_length("payload").cast("long")), -1
+    for high, captures_each in TIERS:
+        # equal payloads are of one size, so tiers know nothing of each other
+        tier = rows.where((F.col("size") > low) & (F.lit(True) if high is None else F.col("size") <= high))
+        records = _records(tier, least_bytes, date)
+        records.write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 3 * captures_each).text(path)
+        low = high
+    return path
+
+
+def _records(rows: DataFrame, least_bytes: int, date: str) -> DataFrame:
+    """The text of three records for each row of id, url, payload and size."""
+    rows = rows.withColumn("digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("check", F.xxhash64("payload"))
+    firsts = rows.where(F.col("size") >= least_bytes).groupBy("digest", "size", "check").agg(F.max(F.struct("id", "url")).alias("f"))
+    known = rows.join(firsts, ["digest", "size", "check"], "left").withColumn("first", F.col("f.id"))
+    revisit = F.col("f").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
+    told = known.withColumn("refers_to", F.when(revisit, F.col("first"))).withColumn("first_url", F.col("f.url")).withColumn("me", F.uuid())
 
     urn = lambda tail: F.concat(F.lit("<urn:uuid:"), F.col("me"), F.lit(f"{tail}>"))
     number = lambda c: F.col(c).cast("string")
@@ -65,14 +77,12 @@ def write(pages: DataFrame, path: str | None = None, id_col: str = "page_id", ur
     asked = F.concat(F.lit("GET "), F.coalesce("url", F.lit("/")), F.lit(" HTTP/1.1"), F.lit(END))
     about = F.concat_ws("", *[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{k}: "), number(c), F.lit(FIELD_LINE))) for k, c in (("page-id", "id"), ("refers-to-page-id", "refers_to"))])
     reply = _record("response", [("WARC-Record-ID", urn("")), *shared, *digest], F.concat(head, F.col("payload")), "application/http; msgtype=response")
-    again = _record("revisit", [("WARC-Record-ID", urn("")), *shared, *digest, ("WARC-Profile", F.lit(REVISIT_PROFILE)), ("WARC-Refers-To-Target-URI", F.concat(F.lit("urn:page:"), number("refers_to")))], head, "application/http; msgtype=response")
-    records = told.select(F.explode(F.array(
+    again = _record("revisit", [("WARC-Record-ID", urn("")), *shared, *digest, ("WARC-Profile", F.lit(REVISIT_PROFILE)), ("WARC-Refers-To-Target-URI", F.col("first_url")), ("WARC-Refers-To-Date", F.lit(date))], head, "application/http; msgtype=response")
+    return told.select(F.explode(F.array(
         _record("request", [("WARC-Record-ID", urn("-q")), ("WARC-Concurrent-To", urn("")), *shared], asked, "application/http; msgtype=request"),
         F.when(F.col("refers_to").isNull(), reply).otherwise(again),
         _record("metadata", [("WARC-Record-ID", urn("-m")), ("WARC-Concurrent-To", urn("")), *shared], about, "application/warc-fields"),
     )).alias("value"))
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_ROWS).text(path)
-    return path
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -129,10 +139,13 @@ def _rows(with_payload: bool) -> Callable:
 
 def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """The records of the archives under path. Digest and size of a response are those of the payload that is there;
-    a revisit's are those it tells. Archives that are cut off or no WARC raise an error."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    a revisit's are those it tells. Archives that are cut off or no WARC raise an error.
+
+    Archives are parsed once, into a table that what follows reads as often as it needs."""
+    small_batches(spark)
     files = spark.read.format("binaryFile").load(path).where(F.col("length") > 0).select("content")
-    return files.mapInPandas(_rows(with_payload), RECORD)
+    with batch_rows(spark, 1):
+        return stored(files.mapInPandas(_rows(with_payload), RECORD), "records")
 
 
 def captures(records: DataFrame) -> DataFrame:
