@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.llm.shared import scratch, stored
+from siftspark.llm.shared import fresh, scratch, stored
 
 
 @dataclass(frozen=True)
@@ -129,23 +129,19 @@ def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = R
     docs = docs.drop(*[c for c in docs.columns if c.lower() == "secrets"])
     done = update_ledger(docs, ledger or scratch(docs.sparkSession, "ledger"), rules, text_col)
     rank = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.version, i)])
+    blob, hits = fresh(docs, "blob", "found")
     found = (
         done.where(F.col("version").isin([r.version for r in rules]) & (F.size("spans") > 0))
         .dropDuplicates(["blob", "version"])
         .withColumn("rank", rank[F.col("version")])
         .select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("rank").alias("rank"), s["end"].alias("end"), F.col("kind").alias("kind"))).alias("s"))
-        .groupBy("blob")
-        .agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("_found"))
+        .groupBy(F.col("blob").alias(blob))
+        .agg(F.array_sort(F.flatten(F.collect_list("s"))).alias(hits))
     )
     # findings as a table of their own: Spark knows their size, and can split the rows of a blob with very many paths
     found = stored(found, "findings")
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    return (
-        docs.withColumn("_blob", blob_of(F.col(text_col)))
-        .join(found.withColumnRenamed("blob", "_blob"), "_blob", "left")
-        .withColumn("secrets", F.coalesce("_found", none))
-        .drop("_blob", "_found")
-    )
+    return docs.withColumn(blob, blob_of(F.col(text_col))).join(found, blob, "left").withColumn("secrets", F.coalesce(hits, none)).drop(blob, hits)
 
 
 def spans_text(secrets: Column, kinds: tuple[str, ...] | None = None) -> Column:
