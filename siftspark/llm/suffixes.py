@@ -8,11 +8,13 @@ agree go to blind tries. Neighbours in these orders have the longest common exte
 suffix up, each anchor meets the best partner for every depth, and the farthest reach of the partners whose left and
 right extensions make up `length` bytes is what goes around it.
 
-A hash with very many anchors is not ordered by one task. Its anchors are dealt into groups that agree on the bytes at
-once to their left and right, in steps: a pair with a left extension of s to s + step - 1 bytes agrees on s bytes to the
-left and on length - s - step + 1 to the right, so it meets in the group of s. Groups that are small enough are ordered
-as above; those still too large are dealt again with steps of one byte. A group then is the same `length` bytes over and
-over, its order is known without a look, and each of its strings goes if there are two.
+A window belongs to the anchor that is its least, so an anchor only needs the bytes of its own windows around it.
+
+A hash with very many anchors is not ordered by one task. Its windows are dealt into ranges of STEP starts, and anchors
+into groups that agree on what all windows of a range share. Anchors that agree on all bytes of the range are one class,
+counted by a shuffle; a class of two goes as a whole. Of the others one stands for its class: groups with few classes
+are ordered as above. In a group with very many the range is cut into its single windows: each is a class of its own
+then, fully sorted, and goes if two classes hold it.
 """
 
 from __future__ import annotations
@@ -37,8 +39,8 @@ SHALLOW = 48
 PIECE = 1 << 19
 #: Anchors that one task orders together; larger groups are dealt into narrower ones.
 GROUP_LIMIT = 1024
-#: Bytes of left extension that share a group when a hash has too many anchors.
-STEP = 24
+#: Window starts of a range when a hash has too many anchors.
+STEP = 64
 
 
 # ---- anchors -----------------------------------------------------------------------------------------------------
@@ -58,11 +60,12 @@ def gram_hashes(b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(b: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors: in each window of `length` bytes the last of the least hashes."""
+def anchors(b: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Places and hashes of the anchors: in each window of `length` bytes the last of the least hashes; and how far before
+    its anchor a window starts that belongs to it, at least and at most."""
     if len(b) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at, found, span = [], [], length - GRAM + 1
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found, span = [], length - GRAM + 1
     for start in range(0, len(b) - length + 1, PIECE):
         part = np.frombuffer(b, np.uint8, min(PIECE + length - 1, len(b) - start), start)
         h = gram_hashes(part)
@@ -76,12 +79,13 @@ def anchors(b: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
         behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
         least = np.minimum(behind[:n], ahead[span - 1 : span - 1 + n])
         place = (np.uint64(0xFFFFF) - (least & np.uint64(0xFFFFF))).astype(np.int64)
-        place = place[np.concatenate([[True], place[1:] != place[:-1]])]
-        at.append(place + start)
-        found.append(h[place])
-    at, found = np.concatenate(at), np.concatenate(found)
-    _, first = np.unique(at, return_index=True)
-    return at[first], found[first]
+        # windows of one anchor stand side by side
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        at = place[first]
+        found.append((at + start, h[at], at - np.append(first[1:], n) + 1, at - first))
+    at, h, low, high = map(np.concatenate, zip(*found))
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))  # an anchor may go on in the next piece
+    return at[first], h[first], np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
 
 
 # ---- deep-shallow sorting ----------------------------------------------------------------------------------------
@@ -232,9 +236,10 @@ def _places(length: int) -> Callable:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for k, text in zip(frame["k"], frame["text"], strict=True):
-                at, h = anchors((text or "").encode(), length)
+                at, h, low, high = anchors((text or "").encode(), length)
                 for i in range(0, len(at), 1 << 16):
-                    yield pd.DataFrame({"k": k, "at": at[i : i + (1 << 16)], "h": h[i : i + (1 << 16)].view(np.int64)})
+                    j = i + (1 << 16)
+                    yield pd.DataFrame({"k": k, "at": at[i:j], "h": h[i:j].view(np.int64), "low": low[i:j].astype(np.int32), "high": high[i:j].astype(np.int32)})
 
     return _batched(run)
 
@@ -257,21 +262,20 @@ def _batched(run: Callable, rows: int = 1 << 14) -> Callable:
 
 
 def _contexts(length: int) -> Callable:
-    """Bytes around the anchors. In one text, anchors with the same surroundings are each other's partners: all but the
-    first are told as pairs of a left and right reach straight away."""
+    """Bytes of the windows of each anchor. In one text, anchors with the same surroundings are each other's partners: all
+    but the first are told as pairs of a left and right reach straight away."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for k, text, places, hashes in zip(frame["k"], frame["text"], frame["places"], frame["hashes"], strict=True):
+            for k, text, places, hashes, lows, highs in zip(*(frame[c] for c in ("k", "text", "places", "hashes", "lows", "highs")), strict=True):
                 b, met, rows = text.encode(), {}, []
-                for at, h in zip(places, hashes, strict=True):
-                    low = max(0, at - length + GRAM)
-                    around = (low - at, b[low : at + length])
-                    if around in met and len(around[1]) >= length:
-                        rows += [(k, p, 0, None, p - low_, len(around[1]) - (p - low_)) for p, low_ in ((at, low), met[around])]
+                for at, h, low, high in zip(places, hashes, lows, highs, strict=True):
+                    around = (high, b[at - high : at - low + length])
+                    if around in met:
+                        rows += [(k, p, 0, None, high, length - low) for p in (at, met[around])]
                     else:
-                        met[around] = (at, low)
-                        rows.append((k, at, h, around[1], at - low, 0))
+                        met[around] = at
+                        rows.append((k, at, h, around[1], high, 0))
                     if len(rows) >= 2048:
                         yield pd.DataFrame(rows, columns=["k", "at", "h", "around", "back", "ahead"])
                         rows = []
@@ -308,24 +312,47 @@ def _removed(length: int) -> Callable:
     return run
 
 
-def _narrower(length: int, step: int, width: int) -> Callable:
-    """A row for each group that an anchor belongs to. Groups are told by the least left extension: those from `part` on
-    (of a row) in a range of `width` bytes, `step` apart. The group's hash covers the bytes that its members agree on."""
+def _ranges(length: int, step: int) -> Callable:
+    """A row for each range of windows of an anchor: the hashes of its group (what all windows of the range share) and
+    class (the bytes of those windows that are the anchor's), and from where to where they start before it."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for k, at, around, back, part in zip(frame["k"], frame["at"], frame["around"], frame["back"], frame["part"], strict=True):
-                ahead = len(around) - back
-                for s in range(part, min(part + width, length - GRAM + 1, back + 1), step):
-                    right = max(GRAM, length - s - step + 1)
-                    if right <= ahead:
-                        rows.append((hashlib.blake2b(around[back - s : back + right], digest_size=16, salt=s.to_bytes(8, "big")).digest(), k, at, s))
-            yield pd.DataFrame(rows, columns=["g", "k", "at", "part"])
+            for k, at, around, back in zip(frame["k"], frame["at"], frame["around"], frame["back"], strict=True):
+                least = back + length - len(around)
+                for p in range(least // step, back // step + 1):
+                    low, high, name = max(least, p * step), min(back, p * step + step - 1), p.to_bytes(4, "big")
+                    shared = around[back - p * step : back + max(GRAM, length - p * step - step + 1)]
+                    own = around[back - high : back + length - low]
+                    group = int.from_bytes(hashlib.blake2b(shared, digest_size=8, salt=name).digest(), "big", signed=True)
+                    rows.append((group, hashlib.blake2b(own, digest_size=16, salt=name + low.to_bytes(4, "big") + high.to_bytes(4, "big")).digest(), k, at, low, high))
+            yield pd.DataFrame(rows, columns=["g", "c", "k", "at", "low", "high"])
 
     return _batched(run)
 
 
+def _of_classes(length: int, windows: bool) -> Callable:
+    """Rows of those anchors that stand for their classes: the bytes of the class, or each of its windows."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for around, back, classes in zip(frame["around"], frame["back"], frame["classes"], strict=True):
+                for x in classes:
+                    g, c, low, high = x["g"], bytes(x["c"]), x["low"], x["high"]
+                    if windows:
+                        rows += [(hashlib.blake2b(around[back - s : back - s + length], digest_size=16, salt=s.to_bytes(4, "big")).digest(), c, s) for s in range(low, high + 1)]
+                    else:
+                        rows.append((c, 0, g, around[back - high : back + length - low], high))
+                if len(rows) >= 4096:
+                    yield pd.DataFrame(rows, columns=["w", "c", "s"] if windows else ["k", "at", "h", "around", "back"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["w", "c", "s"] if windows else ["k", "at", "h", "around", "back"])
+
+    return run
+
+
 def _keep(length: int) -> Callable:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -355,6 +382,33 @@ def merged(spans: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def _ordered(rows: DataFrame, length: int, n_tasks: int) -> DataFrame:
+    """k, low, high: what goes around the anchors, each hash h ordered by one task."""
+    dealt = rows.select("k", "at", "h", "around", "back").repartition(n_tasks, "h").sortWithinPartitions("h")
+    return dealt.mapInPandas(_removed(length), "k binary, low long, high long")
+
+
+def _of_hot(rows: DataFrame, length: int, group_limit: int, n_tasks: int) -> DataFrame:
+    """As _ordered(), of hashes with too many anchors for a task: by ranges of windows, and one anchor for each class."""
+    hot = stored(rows.select("k", "at", "around", "back"), "hot-contexts")
+    ranges = stored(hot.mapInPandas(_ranges(length, STEP), "g long, c binary, k binary, at long, low int, high int"), "hot-ranges")
+    place = F.xxhash64("k", "at")
+    classes = ranges.groupBy("g", "c").agg(F.min(F.struct("k", "at")).alias("r"), F.min(place).alias("one"), F.max(place).alias("other"), F.first("low").alias("low"), F.first("high").alias("high"))
+    classes = stored(classes.select("g", "c", "r.*", "low", "high", (F.col("one") < F.col("other")).alias("twice")), "hot-classes")
+    sizes = stored(classes.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "hot-sizes")
+    # an anchor stands for several classes; they go to its bytes as one row
+    of = lambda some: hot.join(classes.join(some, "g").groupBy("k", "at").agg(F.collect_list(F.struct("g", "c", "low", "high")).alias("classes")), ["k", "at"])
+    few = of(sizes.where(F.col("n") <= group_limit)).mapInPandas(_of_classes(length, False), "k binary, at long, h long, around binary, back int")
+    reach = _ordered(few, length, n_tasks).select(F.col("k").alias("c"), (-F.col("low")).alias("left"), F.col("high").alias("right"))
+    single = stored(of(sizes.where(F.col("n") > group_limit)).mapInPandas(_of_classes(length, True), "w binary, c binary, s int"), "hot-windows")
+    again = single.groupBy("w").agg(F.min("c").alias("one"), F.max("c").alias("other")).where("one < other").select("w")
+    whole = classes.where("twice").select("c", F.col("high").cast("long").alias("left"), (length - F.col("low")).cast("long").alias("right"))
+    part = single.join(again, "w").select("c", F.col("s").cast("long").alias("left"), (length - F.col("s")).cast("long").alias("right"))
+    # windows of a class overlap, so they are one reach
+    reach = stored(reach.unionByName(whole).unionByName(part).groupBy("c").agg(F.max("left").alias("left"), F.max("right").alias("right")), "hot-reach")
+    return ranges.join(reach, "c").select("k", (F.col("at") - F.col("left")).alias("low"), (F.col("at") + F.col("right")).alias("high"))
+
+
 def repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, with_kept: bool = True, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """docs without the text, with n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes that stay)
     and runs (low, high, low, high ...: what goes, in bytes).
@@ -376,35 +430,25 @@ def repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", len
     long_ones = keyed.where(F.octet_length(text_col) >= length).select(F.col(key).alias("k"), F.col(text_col).alias("text"), F.col(id_col).alias("i"))
     copies = stored(long_ones.groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("first")), "copies")
 
-    at = stored(long_ones.select("k", "text").mapInPandas(_places(length), "k binary, at long, h long"), "anchors")
+    at = stored(long_ones.select("k", "text").mapInPandas(_places(length), "k binary, at long, h long, low int, high int"), "anchors")
     # a hash is repeated if it stands at two places; the places of copies are the same, so no distinct is needed
     place = F.xxhash64("k", "at")
-    groups = stored(at.groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("h"), "repeated")
-    places = at.join(groups, "h").groupBy("k").agg(F.array_sort(F.collect_set(F.struct("at", "h"))).alias("p"))
+    groups = stored(at.groupBy("h").agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one < other").select("h"), "repeated")
+    places = at.join(groups, "h").groupBy("k").agg(F.array_sort(F.collect_set(F.struct("at", "h", F.col("low"), F.col("high")))).alias("p"))
     # the id is a join key too, so a text with very many copies is dealt over many tasks
     first = places.join(copies.select("k", "first"), "k").select(F.col("k").alias("fk"), "first", "p")
-    picked = long_ones.join(first, (F.col("k") == F.col("fk")) & F.col("i").eqNullSafe(F.col("first"))).select("k", "text", F.col("p.at").alias("places"), F.col("p.h").alias("hashes"))
+    picked = long_ones.join(first, (F.col("k") == F.col("fk")) & F.col("i").eqNullSafe(F.col("first"))).select("k", "text", *[F.col(f"p.{c}").alias(n) for c, n in (("at", "places"), ("h", "hashes"), ("low", "lows"), ("high", "highs"))])
     # texts with repeated anchors, one of each copy; a row that repeats with its id stays twice here, and counts once below
     suspects = stored(picked, "suspects")
     around = stored(suspects.mapInPandas(_contexts(length), "k binary, at long, h long, around binary, back long, ahead long"), "contexts")
     told = around.where("around is null").select("k", (F.col("at") - F.col("back")).alias("low"), (F.col("at") + F.col("ahead")).alias("high"))
     open_ones = around.where("around is not null")
-    many = open_ones.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > group_limit).select("h")
-    order = lambda rows, by: rows.repartition(n_tasks, by).sortWithinPartitions(by).select("k", "at", F.col(by).alias("h"), "around", "back").mapInPandas(_removed(length), "k binary, low long, high long")
+    # few hashes have so many anchors, so this table is small
+    many = stored(open_ones.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > group_limit).select("h"), "hot-hashes")
     with batch_rows(spark, 16 * BATCH_ROWS):
-        found = stored(order(open_ones.join(many, "h", "left_anti"), "h"), "spans")
-        if many.limit(1).count():
-            hot = stored(open_ones.join(many, "h", "left_semi").select("k", "at", "around", "back"), "hot-contexts")
-            keys = "g binary, k binary, at long, part long"
-            groups = stored(hot.withColumn("part", F.lit(0).cast("long")).mapInPandas(_narrower(length, STEP, length), keys), "hot-groups")
-            sizes = stored(groups.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "hot-sizes")
-            small = groups.join(sizes.where(F.col("n") <= group_limit).select("g"), "g")
-            found = found.unionByName(stored(order(hot.join(small, ["k", "at"]), "g"), "hot-spans"))
-            wide = groups.join(sizes.where(F.col("n") > group_limit).select("g"), "g").select("k", "at", "part")
-            equal = stored(hot.join(wide, ["k", "at"]).mapInPandas(_narrower(length, 1, STEP), keys), "hot-strings")
-            # counted at two places: places of one text that are the same anchor twice count once
-            again = equal.groupBy("g").agg(F.min(F.xxhash64("k", "at")).alias("low"), F.max(F.xxhash64("k", "at")).alias("high")).where("low < high").select("g")
-            found = found.unionByName(equal.join(again, "g").select("k", (F.col("at") - F.col("part")).alias("low"), (F.col("at") - F.col("part") + length).alias("high")))
+        found = stored(_ordered(open_ones.join(many, "h", "left_anti"), length, n_tasks), "spans")
+        if not many.isEmpty():
+            found = found.unionByName(_of_hot(open_ones.join(many, "h", "left_semi"), length, group_limit, n_tasks))
     spans = found.unionByName(told).groupBy("k").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     outputs = ("n_removed", "n_spans", "kept_sha256", *(("kept", "runs") if with_kept else ()))
     kinds = {"n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept": "binary", "runs": "array<long>"}

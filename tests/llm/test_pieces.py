@@ -123,8 +123,18 @@ def test_anchors_depend_on_content_only():
     for start in range(len(shared) - 100 + 1):
         assert {p for p in inside[0] & inside[1] if start <= p <= start + 100 - suffixes.GRAM}
     for text in (b"", b"a" * 99, b"a" * 100, b"ab" * 900):
-        at, h = suffixes.anchors(text, 100)
+        at, h, low, high = suffixes.anchors(text, 100)
         assert len(at) == len(h) and all(any(s <= p <= s + 100 - suffixes.GRAM for p in at) for s in range(len(text) - 99))
+        # each window belongs to one anchor that it holds
+        assert sorted(p - s for p, a, b in zip(at, low, high) for s in range(a, b + 1)) == list(range(max(0, len(text) - 99)))
+        assert all(0 <= a <= b <= 100 - suffixes.GRAM for a, b in zip(low, high))
+
+
+def test_anchors_go_on_over_pieces(monkeypatch):
+    text = bytes(random.Random(4).randrange(97, 123) for _ in range(3000)) + b"x" * 500
+    whole = suffixes.anchors(text, 100)
+    monkeypatch.setattr(suffixes, "PIECE", 64)
+    assert all((a == b).all() for a, b in zip(whole, suffixes.anchors(text, 100)))
 
 
 def brute_repeated(words):
