@@ -27,7 +27,7 @@ from siftspark.llm.shared import fresh, small_batches, stored
 #: Longest unit that is encoded whole, in characters of the byte-level alphabet.
 LEAF = 2048
 #: Texts above LONG characters are cut into leaves of TEXT_LEAF or more.
-LONG, TEXT_LEAF = 16_384, 8_192
+LONG, TEXT_LEAF = 32_768, 16_384
 #: Tokens on each side of a cut that are first encoded again.
 WINDOW = 8
 #: Parts (chunks or tokens) of a leaf's end that a join sees at most.
@@ -247,13 +247,11 @@ def encode(
     texts = far.select(F.col(key).alias("k"), F.col(text_col).alias("t")).dropDuplicates(["k"])
     cuts = stored(texts.mapInPandas(_cut(path, leaf, text_leaf), "k string, piece long, leaf long, kind int, last boolean, s string"), "bpe-leaves")
     n_tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    leaves = stored(cuts.repartition(n_tasks, "k", "piece", "leaf").mapInPandas(_leaf(path), f"k string, piece long, leaf long, kind int, last boolean, ids array<int>, head {END}, tail {END}"), "bpe-tokens")
-    ends = ["k", "piece", "leaf", "kind"]
+    leaves = stored(cuts.repartition(n_tasks, "k", "piece", "leaf").mapInPandas(_leaf(path), f"k string, piece long, leaf long, kind int, {SAID}, head string, tail string"), "bpe-tokens")
     right = leaves.where("leaf > 0").select("k", "piece", (F.col("leaf") - 1).alias("leaf"), F.col("head").alias("right"))
-    joins = leaves.where("kind <> 1").select(*ends, F.col("tail").alias("left")).join(right, ["k", "piece", "leaf"]).mapInPandas(_join(path), "k string, piece long, leaf long, kind int, drop_left int, drop_right int, mid array<int>")
-    rows = leaves.select(*ends, "ids", F.lit(None).cast("int").alias("drop_left"), F.lit(None).cast("int").alias("drop_right")).unionByName(
-        joins.select("k", "piece", "leaf", F.lit(JOIN).alias("kind"), F.col("mid").alias("ids"), "drop_left", "drop_right")
-    )
+    joins = leaves.where("tail is not null").select("k", "piece", "leaf", "kind", F.col("tail").alias("left")).join(right, ["k", "piece", "leaf"]).mapInPandas(_join(path), f"k string, piece long, leaf long, kind int, {SAID}, drop_left int, drop_right int")
+    none = F.lit(None).cast("int")
+    rows = leaves.drop("head", "tail").withColumns({"drop_left": none, "drop_right": none}).unionByName(joins)
     whole = rows.groupBy("k").applyInPandas(_assemble(path), "k string, " + ", ".join(f"{c} {FIELDS[c]}" for c in FIELDS))
     joined = far.join(whole.select(F.col("k").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in outputs]), key).select(
         *[F.col(f"`{f.name}`") for f in carried], *[F.col(f"{key}_{c}").alias(c) for c in outputs]
@@ -261,10 +259,10 @@ def encode(
     return short.unionByName(joined)
 
 
-#: Kinds of leaf rows: of ordinary text, a special token, of a long unit; and a join.
-TEXT, SPECIAL, UNIT, JOIN = 0, 1, 2, 3
-#: An end of a leaf: for text the characters of its outermost chunks and how many tokens each has; for a unit its tokens.
-END = "struct<s: string, n: array<int>>"
+#: Kinds of leaf rows: of ordinary text, a special token, of a long unit; and of their joins.
+TEXT, SPECIAL, UNIT, JOIN = 0, 1, 2, 10
+#: Ids and tokens joined by spaces, and their number.
+SAID = "ids string, decoded string, n_tokens long"
 
 
 def even_cuts(text: str, size: int) -> list[str]:
@@ -308,27 +306,27 @@ def _cut(path: str, leaf: int, text_leaf: int) -> Callable:
 
 
 def _leaf(path: str) -> Callable:
+    """A leaf of text gives what lies between its ends and the ends' text; one of a unit all its tokens, and its ends' ids."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(path)
 
-        def told(kind: int, last: bool, s: str) -> tuple:
-            if kind == SPECIAL:
-                return [int(s)], None, None
-            if kind == UNIT:
-                ids = own.encode_part(s, last)
+        def told(leaf: int, kind: int, last: bool, s: str) -> tuple:
+            if kind != TEXT:
+                ids = [int(s)] if kind == SPECIAL else own.encode_part(s, last)
                 most = min(TOKEN_ENDS, len(ids) // 2)
-                return ids, {"s": None, "n": ids[:most]}, {"s": None, "n": ids[len(ids) - most :]}
+                ends = [" ".join(map(str, ids[low:high])) if kind == UNIT else None for low, high in ((0, most), (len(ids) - most, len(ids)))]
+                return " ".join(map(str, ids)), own.decode(ids), len(ids), ends[0], None if last else ends[1]
             chunks = s.split(" ")
-            each = [own.chunk(c) if c else [] for c in chunks]
-            # ends must not meet, or two joins would change the same tokens
+            # ends must not meet, or two joins would change the same chunks
             most = min(CHUNK_ENDS, len(chunks) // 2)
-            end = lambda low, high: {"s": " ".join(chunks[low:high]), "n": [len(x) for x in each[low:high]]}
-            return [i for x in each for i in x], end(0, most), end(len(chunks) - most, len(chunks))
+            low, high = most if leaf else 0, len(chunks) if last else len(chunks) - most
+            return *own.text(" ".join(chunks[low:high])), " ".join(chunks[:most]), None if last else " ".join(chunks[len(chunks) - most :])
 
         for frame in frames:
-            rows = [told(*x) for x in zip(frame["kind"], frame["last"], frame["s"], strict=True)]
-            frame = frame.drop(columns="s")
-            for i, c in enumerate(("ids", "head", "tail")):
+            rows = [told(*x) for x in zip(frame["leaf"], frame["kind"], frame["last"], frame["s"], strict=True)]
+            frame = frame.drop(columns=["s", "last"])
+            for i, c in enumerate(("ids", "decoded", "n_tokens", "head", "tail")):
                 frame[c] = [r[i] for r in rows]
             yield frame
 
@@ -336,8 +334,8 @@ def _leaf(path: str) -> Callable:
 
 
 def _join(path: str) -> Callable:
-    """What each join changes: tokens that go at the end of the left leaf and the start of the right one, and those that
-    take their place. Null where the ends did not agree."""
+    """What stands at each cut. For text that is what lies between the leaves' middles. For a unit it is what replaces so
+    many tokens at the end of the left leaf and the start of the right one; null where the ends did not agree."""
 
     def of_unit(own: Codec, left: list[int], right: list[int]) -> tuple:
         k = WINDOW
@@ -345,36 +343,34 @@ def _join(path: str) -> Callable:
             i, j = max(0, len(left) - k), min(len(right), k)
             mid = own.encode_part(own.surface(left[i:]) + own.surface(right[:j]), False)
             if mid[0] == left[i] and mid[-1] == right[j - 1]:
-                return len(left) - i, j, mid
+                return " ".join(map(str, mid)), None, len(mid), len(left) - i, j
             if i == 0 and j == len(right):
                 break
             k *= 2
-        return None, None, None
+        return (None,) * 5
 
-    def of_text(own: Codec, left: dict, right: dict) -> tuple:
-        (a, b), k = (x["s"].split(" ") if len(x["n"]) else [] for x in (left, right)), 1
-        while a and b:
+    def of_text(own: Codec, left: str, right: str) -> tuple:
+        a, b, k = left.split(" "), right.split(" "), 1
+        while True:
             i, j = max(0, len(a) - k), min(len(b), k)
             window = (" ".join(a[i:]) + " ".join(b[:j])).split(" ")
             # outermost chunks that the cut did not touch stand as they stood
-            if window[0] == a[i] and window[-1] == b[j - 1] and len(window) > 1:
-                mid = [t for c in window if c for t in own.chunk(c)]
-                return int(sum(left["n"][i:])), int(sum(right["n"][:j])), mid
+            if len(window) > 1 and window[0] == a[i] and window[-1] == b[j - 1]:
+                return *own.text(" ".join([*a[:i], *window, *b[j:]])), None, None
             if i == 0 and j == len(b):
-                break
+                raise ValueError("a leaf of ordinary text has too few chunks to join")
             k *= 2
-        return None, None, None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(path)
+        numbers = lambda s: [int(x) for x in s.split(" ")] if s else []
         for frame in frames:
-            rows = []
-            for kind, left, right in zip(frame["kind"], frame["left"], frame["right"], strict=True):
-                rows.append(of_text(own, left, right) if kind == TEXT else of_unit(own, [int(x) for x in left["n"]], [int(x) for x in right["n"]]))
-            out = frame[["k", "piece", "leaf", "kind"]].copy()
-            for i, c in enumerate(("drop_left", "drop_right")):
-                out[c] = pd.array([r[i] for r in rows], dtype="Int32")
-            out["mid"] = [r[2] for r in rows]
+            rows = [of_text(own, a, b) if kind == TEXT else of_unit(own, numbers(a), numbers(b)) for kind, a, b in zip(frame["kind"], frame["left"], frame["right"], strict=True)]
+            out = frame[["k", "piece", "leaf"]].assign(kind=frame["kind"] + JOIN)
+            for i, c in enumerate(("ids", "decoded")):
+                out[c] = [r[i] for r in rows]
+            for i, c in enumerate(("n_tokens", "drop_left", "drop_right")):
+                out[c] = pd.array([r[i + 2] for r in rows], dtype="Int64")
             yield out
 
     return run
@@ -383,24 +379,33 @@ def _join(path: str) -> Callable:
 def _assemble(path: str) -> Callable:
     """A text's tokens from its leaves and joins. Only here the whole row stands, as it will in the result."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        own = codec(path)
-        out: list[int] = []
-        for _, piece in frame.sort_values(["piece", "leaf"], kind="stable").groupby("piece", sort=True):
-            cuts, own_rows = piece[piece["kind"] == JOIN], piece[piece["kind"] != JOIN]
-            parts = [list(map(int, x)) for x in own_rows["ids"]]
-            kind = own_rows["kind"].iloc[0]
-            if cuts["drop_left"].isna().any():
-                if kind == TEXT:
-                    raise ValueError("a leaf of ordinary text has too few chunks to join")
-                # ends of a unit's leaves that did not agree: wider windows, over the whole leaves
-                out += join_tree(parts, own.surface, own.encode_part)
-                continue
+    def of_unit(own: Codec, piece: pd.DataFrame) -> tuple:
+        cuts, leaves = piece[piece["kind"] != UNIT], piece[piece["kind"] == UNIT]
+        parts = [[int(t) for t in x.split(" ")] for x in leaves["ids"]]
+        if cuts["drop_left"].isna().any():
+            # ends that did not agree: wider windows, over the whole leaves
+            out = join_tree(parts, own.surface, own.encode_part)
+        else:
             for at, left, right, mid in zip(cuts["leaf"], cuts["drop_left"], cuts["drop_right"], cuts["ids"], strict=True):
                 del parts[at][len(parts[at]) - int(left) :]
-                parts[at + 1] = [*map(int, mid), *parts[at + 1][int(right) :]]
-            out += [t for p in parts for t in p]
-        row = row_of(" ".join(map(str, out)), own.decode(out), len(out))
+                parts[at + 1] = [*map(int, mid.split(" ")), *parts[at + 1][int(right) :]]
+            out = [t for p in parts for t in p]
+        return " ".join(map(str, out)), own.decode(out), len(out)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        own, found = codec(path), []
+        # a leaf of text comes before the join behind it
+        frame = frame.sort_values(["piece", "leaf", "kind"])
+        long_units = set(frame.loc[frame["kind"] == UNIT, "piece"])
+        done = set()
+        for piece, ids, decoded, n in zip(frame["piece"], frame["ids"], frame["decoded"], frame["n_tokens"], strict=True):
+            if piece not in long_units:
+                found.append((ids, decoded, n))
+            elif piece not in done:
+                done.add(piece)
+                found.append(of_unit(own, frame[frame["piece"] == piece]))
+        found = [x for x in found if x[2]]
+        row = row_of(" ".join([x[0] for x in found]), " ".join([x[1] for x in found]), int(sum(x[2] for x in found)))
         return pd.DataFrame([(frame["k"].iloc[0], *row)], columns=["k", *FIELDS])
 
     return run
