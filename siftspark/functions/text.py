@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import re
+import hashlib
+import json
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,7 +33,8 @@ def normalize_strip(text: Column) -> Column:
     return _trim(F.regexp_replace(F.regexp_replace(F.lower(text), _SPACES, " "), _NOT_WORD, ""))
 
 
-def _grams(text: str | None, n: int, short_text: bool) -> list[str]:
+def grams_of(text: str | None, n: int, short_text: bool) -> list[str]:
+    """What ngrams() gives for one normalised text."""
     if not text:
         return []
     words = text.split()
@@ -49,11 +52,66 @@ def ngrams(normalized: Column, n: int = 3, short_text: bool = True) -> Column:
 
     @F.pandas_udf("array<string>")
     def grams(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _grams(t, n, short_text))
+        return texts.map(lambda t: grams_of(t, n, short_text))
 
     return grams(normalized)
 
 
+def gram_hashes(normalized: Column, n: int = 3, short_text: bool = True) -> Column:
+    """The set of ngrams() as sorted 64-bit hashes: sets are compared and moved as integers."""
+    n = max(1, n)
+
+    @F.pandas_udf("array<long>")
+    def hashes(texts: pd.Series) -> pd.Series:
+        # grams repeat within a text and from text to text, so a worker hashes each but once a batch
+        known: dict[str, int] = {}
+
+        def one(text: str | None) -> np.ndarray:
+            found = grams_of(text, n, short_text)
+            for g in found:
+                if g not in known:
+                    known[g] = int.from_bytes(hashlib.blake2b(g.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+            return np.sort(np.fromiter((known[g] for g in found), np.int64, len(found)))
+
+        return texts.map(one)
+
+    return hashes(normalized)
+
+
+def gram_count(normalized: Column, n: int = 3, short_text: bool = True) -> Column:
+    """The size of the set of ngrams(), counted where the grams are made."""
+    n = max(1, n)
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(grams_of(t, n, short_text)))
+
+    return count(normalized)
+
+
+def json_objects(text: Column) -> Column:
+    """array<string>: the JSON objects that stand in a text one after the other, with anything or nothing between them."""
+
+    @F.pandas_udf("array<string>")
+    def objects(texts: pd.Series) -> pd.Series:
+        reader = json.JSONDecoder()
+
+        def one(t: str | None) -> list[str]:
+            out, at = [], (t or "").find("{")
+            while at >= 0:
+                try:
+                    _, stop = reader.raw_decode(t, at)
+                    out.append(t[at:stop])
+                except ValueError:
+                    stop = at + 1
+                at = t.find("{", stop)
+            return out
+
+        return texts.map(one)
+
+    return objects(text)
+
+
 def char_grams(text: Column, n: int = 3, words: int | None = 0, most: int = 0) -> Column:
     """Character n-grams of the text without spaces, in order, with repeats; a short text is its own gram.
 
@@ -129,12 +187,3 @@ def lookup_tokens(path: Column) -> Column:
     bare = F.regexp_replace(stem, r"^audio_", "")
     number = first_number(stem)
     return F.array_distinct(F.array_compact(F.array(stem, bare, F.concat(F.lit("audio_"), bare), number, F.regexp_replace(number, r"^0+(?=\d)", ""))))
-
-
-def python_ngrams(text: str | None, n: int = 3, short_text: bool = True) -> list[str]:
-    """What ngrams() computes for one normalised text."""
-    return _grams(text, max(1, n), short_text)
-
-
-def python_normalize(text: str) -> str:
-    return re.sub(r"\s+", " ", re.sub(r"[^\w\s一-鿿]", " ", text.lower())).strip()

@@ -17,26 +17,28 @@ from siftspark.operators import fold, similarity
 from siftspark.operators.resolve import resolve
 from siftspark.session import checkpointed
 
-#: Above this many candidates the pairwise methods use a window (text) or are skipped (vectors) if a guard is asked for.
-MAX_CANDIDATES = 512
-
-
 def _bare(rows: DataFrame) -> DataFrame:
     return rows.drop("kept", "original", "similarity")
 
 
-def by_key(rows: DataFrame, key: Column, order_col: str) -> DataFrame:
-    """The first row of each key is kept; null keys are all kept. No shuffle of whole groups: minima are pre-aggregated."""
-    rows = _bare(rows).withColumn("_key", key)
-    firsts = rows.where("_key is not null").groupBy("_key").agg(F.min(order_col).alias("_first"))
-    return rows.join(firsts, "_key", "left").withColumn("kept", F.col("_first").isNull() | (F.col(order_col) == F.col("_first"))).withColumn(
-        "original", F.when(~F.col("kept"), F.col("_first"))
-    ).withColumn("similarity", F.when(~F.col("kept"), 1.0)).drop("_key", "_first")
+def by_key(rows: DataFrame, key: Column, order_col: str, key_col: str | None = None) -> DataFrame:
+    """The first row of each key is kept; null keys are all kept. No shuffle of whole groups: minima are pre-aggregated.
+
+    The key is evaluated once, in a thin table; what the key was made of is only carried if the result uses it.
+    key_col: the key's name in the result.
+    """
+    thin = checkpointed(rows.select(F.col(order_col).alias("_at"), key.alias("_key")))
+    firsts = thin.where("_key is not null").groupBy(F.col("_key").alias("_of")).agg(F.min("_at").alias("_first"))
+    told = thin.join(firsts, F.col("_key") == F.col("_of"), "left").select(
+        "_at", *([F.col("_key").alias(key_col)] if key_col else []), (F.col("_first").isNull() | (F.col("_at") == F.col("_first"))).alias("kept"),
+        F.when(F.col("_at") != F.col("_first"), F.col("_first")).alias("original"),
+    )
+    return _bare(rows).join(told, F.col(order_col) == F.col("_at")).withColumn("similarity", F.when(~F.col("kept"), 1.0)).drop("_at")
 
 
-def md5_text(docs: DataFrame, order_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def md5_text(docs: DataFrame, order_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
     """Exact copies of the normalised text."""
-    return by_key(docs, F.md5(text.normalize(F.col(text_col)).cast("binary")), order_col)
+    return by_key(docs, F.md5(text.normalize(F.col(text_col)).cast("binary")), order_col, key_col)
 
 
 def file_hash(files: DataFrame, order_col: str = "path", content_col: str = "content", algorithm: str = "sha1") -> DataFrame:
@@ -51,7 +53,7 @@ def file_hash(files: DataFrame, order_col: str = "path", content_col: str = "con
 def jaccard_text(docs: DataFrame, threshold: float = 0.8, n: int = 3, order_col: str = "doc_id", text_col: str = "text", dataset_rules: bool = False, both_empty: bool = True) -> DataFrame:
     """Greedy near-duplicates by n-gram Jaccard. dataset_rules: the other normalisation, and no grams for short texts."""
     clean = text.normalize_strip if dataset_rules else text.normalize
-    grams = checkpointed(docs.select(F.col(order_col).alias("id"), text.ngrams(clean(F.coalesce(F.col(text_col), F.lit(""))), n, not dataset_rules).alias("grams")))
+    grams = checkpointed(docs.select(F.col(order_col).alias("id"), text.gram_hashes(clean(F.coalesce(F.col(text_col), F.lit(""))), n, not dataset_rules).alias("grams")))
     return resolve(_bare(docs), similarity.jaccard_edges(grams, threshold, both_empty=both_empty), order_col)
 
 
@@ -63,7 +65,7 @@ def cross_split(splits: dict[str, DataFrame], threshold: float = 0.8, n: int = 3
     names = sorted(splits, key=lambda s: ({"train": 0, "test": 1}.get(s, 2), s))
     rows = reduce(DataFrame.unionByName, [splits[s].select(F.struct(F.lit(i).alias("rank"), F.col(order_col).alias("id")).alias("at"), F.lit(s).alias("split"), F.col(text_col).alias("text")) for i, s in enumerate(names)])
     clean = text.normalize_strip(text.normalize_strip(F.coalesce("text", F.lit(""))))
-    grams = checkpointed(rows.select(F.col("at").alias("id"), text.ngrams(clean, n, False).alias("grams")))
+    grams = checkpointed(rows.select(F.col("at").alias("id"), text.gram_hashes(clean, n, False).alias("grams")))
     done = resolve(rows, similarity.jaccard_edges(grams, threshold, both_empty=False), "at")
     return done.select("split", F.col("at.id").alias(order_col), "text", "kept", F.col("original.rank").alias("original_rank"), F.col("original.id").alias("original"), "similarity")
 
@@ -73,15 +75,34 @@ def _joined(docs: DataFrame, done: DataFrame, order_col: str) -> DataFrame:
 
 
 def windowed_jaccard(docs: DataFrame, threshold: float = 0.8, window: int = 100, n: int = 3, order_col: str = "doc_id", text_col: str = "text", both_empty: float = 1.0, chunk: Column | None = None) -> DataFrame:
-    """Near-duplicates among the last `window` kept rows of a chunk."""
-    grams = docs.withColumn("_grams", text.ngrams(text.normalize(F.coalesce(F.col(text_col), F.lit(""))), n))
-    return _joined(docs, fold.windowed(grams, fold.jaccard_at_least(threshold, both_empty), "_grams", order_col, window, chunk), order_col)
+    """Near-duplicates among the last `window` kept rows of a chunk, or of the whole table in order without one (by one task)."""
+    grams = docs.withColumn("_grams", text.gram_hashes(text.normalize(F.coalesce(F.col(text_col), F.lit(""))), n))
+    return _joined(docs, fold.windowed(grams, fold.jaccard_at_least(threshold, both_empty), "_grams", order_col, window, chunk, prepare=fold.as_set), order_col)
 
 
-def quick_jaccard(docs: DataFrame, threshold: float = 0.8, sample_size: int = 100, n: int = 3, order_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quick_jaccard(docs: DataFrame, threshold: float = 0.8, sample_size: int = 100, n: int = 3, order_col: str = "doc_id", text_col: str = "text", chunk: Column | None = None) -> DataFrame:
     """As windowed_jaccard(), by the dataset rules; empty texts are like nothing."""
-    grams = docs.withColumn("_grams", text.ngrams(text.normalize_strip(F.coalesce(F.col(text_col), F.lit(""))), n, False))
-    return _joined(docs, fold.windowed(grams, fold.jaccard_at_least(threshold, 0.0), "_grams", order_col, sample_size), order_col)
+    grams = docs.withColumn("_grams", text.gram_hashes(text.normalize_strip(F.coalesce(F.col(text_col), F.lit(""))), n, False))
+    return _joined(docs, fold.windowed(grams, fold.jaccard_at_least(threshold, 0.0), "_grams", order_col, sample_size, chunk, prepare=fold.as_set), order_col)
+
+
+def chunked_quick(docs: DataFrame, threshold: float = 0.8, chunk_size: int = 5000, sample_size: int = 1000, n: int = 3, order_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """quick_jaccard() within chunks of so many rows in order; chunks run side by side."""
+    rows = fold.chunk_of(docs, order_col, chunk_size)
+    return quick_jaccard(rows, threshold, sample_size, n, order_col, text_col, F.col("chunk")).drop("chunk")
+
+
+def clean_split(docs: DataFrame, mode: str = "standard", threshold: float = 0.8, n: int = 3, workers: int = 1, order_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A split by mode: standard (all pairs; chunks if workers are given and there are over 1000 rows), fast (a window of a
+    tenth of the rows, 1000 at most) or parallel (chunks)."""
+    if mode not in ("standard", "fast", "parallel"):
+        raise ValueError(f"unknown cleaning mode {mode}")
+    total = docs.count()
+    if mode == "fast":
+        return quick_jaccard(docs, threshold, max(1, min(1000, total // 10)), n, order_col, text_col)
+    if mode == "parallel" or (workers > 1 and total > 1000):
+        return chunked_jaccard(docs, threshold, max(1, workers), n, order_col, text_col)
+    return jaccard_text(docs, threshold, n, order_col, text_col, dataset_rules=True)
 
 
 def chunk_size(n: int, workers: int) -> int:
@@ -99,8 +120,7 @@ def chunked_jaccard(docs: DataFrame, threshold: float = 0.8, workers: int = 4, n
     total = docs.count()
     rows = fold.chunk_of(docs, order_col, chunk_size(total, workers))
 
-    def similar(a: object, b: object) -> float | None:
-        x, y = set(a), set(b)
+    def similar(x: frozenset, y: frozenset) -> float | None:
         if not x or not y or not 0.5 <= len(x) / len(y) <= 2 or len(x & y) < 0.3 * min(len(x), len(y)):
             return None
         s = len(x & y) / len(x | y)
@@ -109,7 +129,7 @@ def chunked_jaccard(docs: DataFrame, threshold: float = 0.8, workers: int = 4, n
     grams = rows.withColumn("_grams", text.ngrams(text.normalize_strip(text.normalize_strip(F.coalesce(F.col(text_col), F.lit("")))), n, False))
     # texts without grams count by their trimmed text
     plain = F.when(F.size("_grams") == 0, F.array(F.concat(F.lit("\0"), F.trim(F.coalesce(F.col(text_col), F.lit("")))))).otherwise(F.col("_grams"))
-    done = checkpointed(_joined(docs, fold.windowed(grams.withColumn("_grams", plain), similar, "_grams", order_col, 0, F.col("chunk")), order_col))
+    done = checkpointed(_joined(docs, fold.windowed(grams.withColumn("_grams", plain), similar, "_grams", order_col, 0, F.col("chunk"), prepare=fold.as_set), order_col))
     left = done.agg(F.count_if("kept").alias("k")).first()["k"]
     if not total or left / total >= second_pass_below:
         return done
@@ -139,7 +159,10 @@ def simhash_text(docs: DataFrame, radius: int = 10, window: int = 1000, order_co
 
 
 def text_pipeline(docs: DataFrame, method: str = "jaccard", threshold: float = 0.8, n: int = 3, max_candidates: int = 0, window: int = 100, order_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The text methods by name: jaccard, md5, simhash, minhash_lsh, ours_lsh. Above max_candidates jaccard is windowed."""
+    """The text methods by name: jaccard, md5, simhash, minhash_lsh, ours_lsh.
+
+    max_candidates (off by default): above it jaccard gives way to windowed_jaccard(), which misses copies beyond its window.
+    """
     how = {
         "md5": lambda: md5_text(docs, order_col, text_col),
         "simhash": lambda: simhash_text(docs, order_col=order_col, text_col=text_col),
@@ -184,7 +207,7 @@ def audio_pipeline(rows: DataFrame, method: str = "jaccard", threshold: float =
     known = {
         "jaccard": lambda: bits_jaccard(rows, threshold, order_col, value_col),
         "lsh": lambda: bits_lsh(rows, threshold, order_col=order_col, vector_col=value_col),
-        "md5": lambda: by_key(rows, F.md5(F.col(value_col)), order_col),
+        "md5": lambda: by_key(rows, F.md5(F.col(value_col).cast("binary")), order_col),
         "phash": lambda: by_key(rows, F.when(F.col(value_col) != "", F.col(value_col)), order_col),
         "mfcc": lambda: cosine(rows, threshold, True, order_col, value_col),
     }
