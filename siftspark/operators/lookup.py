@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftspark.functions.text import lookup_tokens, path_variants
+from siftspark.functions.text import first_number, lookup_tokens, path_variants
+from siftspark.operators.fold import numbered
 
 
 def by_variants(paths: DataFrame, store: DataFrame, path_col: str = "path", store_col: str = "path", value_col: str = "idx") -> DataFrame:
@@ -45,6 +46,14 @@ def remove(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return rows.join(ids.select(on), on, "left_anti")
 
 
+def removed_files(removed: DataFrame, files: DataFrame, id_col: str = "id", path_col: str = "path") -> DataFrame:
+    """id and path of the files that ids stand for: by the file's place in order (from 0), else by the number in its name."""
+    at = numbered(files.select(F.col(path_col).alias("path")), "path", "place")
+    by_place = removed.select(F.col(id_col).cast("long").alias("id")).distinct().join(at, F.col("id") == F.col("place"), "left").select("id", "path")
+    by_name = files.select(first_number(F.regexp_extract(path_col, r"([^/\\]*)$", 1)).cast("long").alias("n"), F.col(path_col).alias("other")).where("n is not null").groupBy("n").agg(F.min("other").alias("other"))
+    return by_place.join(by_name, F.col("id") == F.col("n"), "left").select("id", F.coalesce("path", "other").alias("path"))
+
+
 def existing(paths: DataFrame, listing: DataFrame, path_col: str = "path") -> tuple[DataFrame, DataFrame]:
     """(existing, missing) by a listing of files."""
     return keep_only(paths, listing, path_col), remove(paths, listing, path_col)

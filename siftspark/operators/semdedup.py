@@ -115,18 +115,41 @@ def dynamic(rows: DataFrame, eps: float = 0.15, id_col: str = "vec_id", vector_c
     return grouped(clustered, eps, "cluster", None, id_col, vector_col)
 
 
+def _nearest(rows: DataFrame, id_kind: str) -> DataFrame:
+    """id, o, s: the most similar kept row o of each lost row's cluster c (ties: the smaller), by blocks of bounded size."""
+    sizes = rows.groupBy(F.col("c").alias("of"), F.col("kept").alias("side_of")).agg(F.ceil(F.count("*") / ROWS).cast("int").alias("n"))
+    both = sizes.where("not side_of").select("of", F.col("n").alias("n_lost")).join(sizes.where("side_of").select(F.col("of").alias("o2"), F.col("n").alias("n_kept")), F.col("of").eqNullSafe(F.col("o2"))).drop("o2")
+    dealt = rows.join(both, F.col("c").eqNullSafe(F.col("of"))).withColumn("k", F.pmod(F.xxhash64("id"), F.when(F.col("kept"), F.col("n_kept")).otherwise(F.col("n_lost"))).cast("int"))
+    cells = F.when(F.col("kept"), F.transform(F.sequence(F.lit(0), F.col("n_lost") - 1), lambda p: F.struct(p.alias("p"), F.col("k").alias("q")))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("n_kept") - 1), lambda q: F.struct(F.col("k").alias("p"), q.alias("q")))
+    )
+
+    def block(frame: pd.DataFrame) -> pd.DataFrame:
+        lost, held = frame[~frame["kept"]], frame[frame["kept"]].sort_values("id")
+        if not len(lost) or not len(held):
+            return pd.DataFrame({"id": [], "o": [], "s": []})
+        x, y = (np.stack(f["v"].to_list()) for f in (lost, held))
+        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
+        s = x @ y.T
+        best = s.argmax(axis=1)
+        return pd.DataFrame({"id": lost["id"].to_numpy(), "o": held["id"].to_numpy()[best], "s": s[np.arange(len(best)), best]})
+
+    found = dealt.select("c", "id", "kept", "v", F.explode(cells).alias("x")).select("c", "id", "kept", "v", "x.*").groupBy("c", "p", "q").applyInPandas(block, f"id {id_kind}, o {id_kind}, s double")
+    return found.groupBy("id").agg(F.min(F.struct((-F.col("s")).alias("far"), "o")).alias("p")).select("id", F.col("p.o").alias("o"), (-F.col("p.far")).alias("s"))
+
+
 def apply_keep_list(rows: DataFrame, keep: DataFrame, cluster_col: str = "cluster", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """rows with kept, original, similarity by a given list of ids (column id): a cluster without any keeps its first row.
 
-    A removed row belongs to the most similar kept row of its cluster, ties to the smaller id.
+    A removed row belongs to the most similar kept row of its cluster, ties to the smaller id. Rows without a vector have
+    no original.
     """
     listed = rows.join(keep.select(F.col("id").alias(id_col)).distinct().withColumn("_in", F.lit(True)), id_col, "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
     any_in = listed.groupBy(F.col(cluster_col).alias("_c")).agg(F.max("_in").alias("_any"), F.min(id_col).alias("_first"))
     marked = listed.join(any_in, listed[cluster_col].eqNullSafe(any_in["_c"])).withColumn("kept", F.when(F.col("_any"), F.col("_in")).otherwise(F.col(id_col) == F.col("_first"))).drop("_c", "_any", "_first", "_in")
-    lost, held = marked.where("not kept"), marked.where("kept")
-    pairs = lost.select(F.col(cluster_col).alias("c"), F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(held.select(F.col(cluster_col).alias("c"), F.col(id_col).alias("o"), F.col(vector_col).alias("w")), "c")
-    best = pairs.select("id", "o", vectors.cosine(F.col("v"), F.col("w")).alias("s")).groupBy("id").agg(F.min(F.struct((-F.col("s")).alias("far"), "o")).alias("p"))
-    return marked.join(best.select(F.col("id").alias(id_col), F.col("p.o").alias("original"), (-F.col("p.far")).alias("similarity")), id_col, "left")
+    flat = marked.where(F.col(vector_col).isNotNull()).select(F.col(cluster_col).alias("c"), F.col(id_col).alias("id"), "kept", F.col(vector_col).cast("array<double>").alias("v"))
+    best = _nearest(flat, dict(rows.dtypes)[id_col])
+    return marked.join(best.select(F.col("id").alias(id_col), F.col("o").alias("original"), F.col("s").alias("similarity")), id_col, "left")
 
 
 def folder_of(path: Column) -> Column:

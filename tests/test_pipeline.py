@@ -23,7 +23,7 @@ def tree(tmp_path):
 
 
 def test_run_and_resume(spark, tree, tmp_path):
-    config = pipeline.load_config(None, input_root=tree, output_root=str(tmp_path / "out"), text={"method": "md5"}, copy=True)
+    config = pipeline.load_config(None, input_root=tree, output_root=str(tmp_path / "out"), text={"method": "md5"}, image={"method": "file_hash"}, audio={"method": "md5"}, copy=True)
     out = pipeline.Pipeline(spark, config).run()
     found = {r["relative_path"]: r["category"] for r in out["manifest"].collect()}
     assert found == {"a.txt": "text", "sub/b.txt": "text", "c.md": "text", "d.png": "image", "sub/d.png": "image", "e.wav": "audio", "f.json": "unknown", "g.bin": "unknown", "h.txt": "unknown"}
