@@ -218,8 +218,9 @@ def audio_pipeline(rows: DataFrame, method: str = "jaccard", threshold: float =
 
 
 def random_removal(pairs: DataFrame, share: float = 0.5, seed: int = 42) -> DataFrame:
-    """b of each pair with a chance of `share`, told by a hash of the pair, so that reruns agree."""
-    return pairs.where(F.pmod(F.xxhash64(F.lit(seed), "a", "b"), F.lit(1_000_000)) < int(share * 1_000_000)).select("b").distinct()
+    """b of each pair with a chance of `share`, told by an MD5 of seed and pair, so that reruns agree."""
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("a").cast("string"), F.col("b").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    return pairs.where(place < int(share * (1 << 32))).select("b").distinct()
 
 
 def dedup_rows(rows: DataFrame, key: Column, order_col: str) -> DataFrame:

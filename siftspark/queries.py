@@ -47,13 +47,58 @@ def greedy(nodes: str, edges: str) -> str:
       SELECT o.n, CASE WHEN list_has_any(w.kept, o.nb) THEN w.kept ELSE list_append(w.kept, o.id) END FROM walk w JOIN ordered o ON o.n = w.n + 1)"""
 
 
+def norm(x: str) -> str:
+    return NORM.replace("text", x)
+
+
+def strip(x: str) -> str:
+    return STRIP.replace("text", x)
+
+
+def grams(source: str, text_sql: str, short_text: bool) -> str:
+    """CTEs up to `sets` (id, s: hashes of the distinct n-grams, n) over source (id, text)."""
+    short = "CASE WHEN length(x) IN (1, 2) THEN [x] ELSE [] END" if short_text else "[]::VARCHAR[]"
+    return f"""texts AS MATERIALIZED (SELECT id, {text_sql} AS x FROM ({source})), cut AS (SELECT id, x, string_split(x, '') AS c, list_filter(string_split(x, ' '), lambda w: w <> '') AS w FROM texts),
+    sets AS MATERIALIZED (SELECT id, s, len(s) AS n FROM (SELECT id, list_transform(list_distinct(list_concat(list_concat(
+      CASE WHEN length(x) >= 3 THEN list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]) ELSE []::VARCHAR[] END,
+      CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE []::VARCHAR[] END), {short})), lambda g: hash(g)) AS s FROM cut))"""
+
+
+def near(threshold: float, both_empty: bool, where: str = "true") -> str:
+    """A CTE `edges` (a, b, s) of the sets that are similar; where: a condition on x and y."""
+    empty = "x.n = 0 AND y.n = 0" if both_empty else "false"
+    return f"""met AS MATERIALIZED (SELECT x.id AS a, y.id AS b, x.n + y.n AS t, len(list_intersect(x.s, y.s)) AS i FROM sets x JOIN sets y ON x.id < y.id AND x.n >= {threshold} * y.n AND y.n >= {threshold} * x.n AND {where} WHERE x.n > 0 OR {empty}),
+    edges AS MATERIALIZED (SELECT a, b, CASE WHEN t = 0 THEN 1.0::DOUBLE ELSE i / (t - i)::DOUBLE END AS s FROM met WHERE t = 0 OR i / (t - i)::DOUBLE >= {threshold})"""
+
+
+def resolved(rows: str, edges: str = "edges", by: str = "a") -> str:
+    """Of walk: id, kept, original, similarity for rows (id). by: what the least of tells the original (a: its order)."""
+    return f"""kept_ids AS (SELECT unnest(kept) AS id FROM (SELECT kept FROM walk ORDER BY n DESC LIMIT 1)),
+    owner AS (SELECT b, arg_min(a, {by}) AS original, arg_min(s, {by}) AS similarity FROM {edges} WHERE a IN (SELECT id FROM kept_ids) AND b NOT IN (SELECT id FROM kept_ids) GROUP BY b),
+    told AS (SELECT r.id, original IS NULL AS kept, original, similarity FROM ({rows}) r LEFT JOIN owner ON r.id = b)"""
+
+
+def windows(nodes: str, window: int, edges: str = "edges") -> str:
+    """CTEs up to `told` of a fold over each chunk c of nodes (c, id) with a memory of the last kept rows."""
+    return f"""ordered AS MATERIALIZED (SELECT c, id, row_number() OVER (PARTITION BY c ORDER BY id) AS n, coalesce(nb, []) AS nb FROM ({nodes}) LEFT JOIN (SELECT b AS id, list(a) AS nb FROM {edges} GROUP BY b) USING (id)),
+    walk AS (SELECT DISTINCT c, 0::BIGINT AS n, NULL::BIGINT AS id, []::BIGINT[] AS kept, NULL::BIGINT AS original FROM ordered UNION ALL
+      SELECT o.c, o.n, o.id, CASE WHEN list_has_any(w.kept, o.nb) THEN w.kept ELSE list_append(w.kept, o.id)[-{window}:] END, list_min(list_intersect(w.kept, o.nb)) FROM walk w JOIN ordered o ON o.c = w.c AND o.n = w.n + 1),
+    told AS (SELECT w.id, w.original IS NULL AS kept, w.original, e.s AS similarity FROM walk w LEFT JOIN {edges} e ON e.a = w.original AND e.b = w.id WHERE w.n > 0)"""
+
+
+_DOCS = "SELECT doc_id AS id, text FROM documents"
+_PIPELINE = f"{grams(_DOCS, norm('text'), True)}, {near(0.8, True)}"
+_TOLD = "SELECT id AS doc_id, kept, original, similarity FROM told"
+_GREEDY = f"{greedy('SELECT id FROM sets', 'edges')}, {resolved('SELECT id FROM sets')}"
+
+
 # ---- text ---------------------------------------------------------------------------------------------------------
 
 
 @query(f"WITH {MD5} SELECT doc_id, lang, k AS text_md5 FROM md5_rows WHERE kept")
 def dedup_md5_keepers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return resolve.keepers(dedup.md5_text(docs)).select("doc_id", "lang", F.md5(text.normalize(F.col("text")).cast("binary")).alias("text_md5"))
+    return resolve.keepers(dedup.md5_text(docs, key_col="text_md5")).select("doc_id", "lang", "text_md5")
 
 
 @query(f"WITH {MD5} SELECT f AS original, count(*) AS n, array_to_string(list(doc_id ORDER BY doc_id), ',') AS duplicates FROM md5_rows WHERE NOT kept GROUP BY f")
@@ -92,7 +137,7 @@ def text_normalize_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT doc_id, count(g.g) AS n_grams FROM t LEFT JOIN g USING (doc_id) GROUP BY doc_id""")
 def text_ngram_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.size(text.ngrams(text.normalize(F.col("text")), 3)).cast("long").alias("n_grams"))
+    return docs.select("doc_id", text.gram_count(text.normalize(F.col("text")), 3).alias("n_grams"))
 
 
 @query(r"SELECT lang AS label, count(*) AS rows, round(avg(n), 6) AS mean_words, min(n)::BIGINT AS min_words, max(n)::BIGINT AS max_words, round(avg(length(text)), 6) AS mean_chars FROM (SELECT *, len(regexp_extract_all(text, '\S+')) AS n FROM documents) GROUP BY lang")
@@ -101,39 +146,99 @@ def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("label", "rows", F.round("mean_words", 6).alias("mean_words"), F.col("min_words").cast("long").alias("min_words"), F.col("max_words").cast("long").alias("max_words"), F.round("mean_chars", 6).alias("mean_chars"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_PIPELINE}, {_GREEDY} {_TOLD}")
 def dedup_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.jaccard_text(table(spark, sf_dir, "documents").select("doc_id", "text"), 0.8).drop("text")
 
 
-@query()
+@query(f"WITH RECURSIVE {grams(_DOCS, strip('text'), False)}, {near(0.8, True)}, {_GREEDY} {_TOLD}")
 def dedup_jaccard_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.jaccard_text(table(spark, sf_dir, "documents").select("doc_id", "text"), 0.8, dataset_rules=True).drop("text")
 
 
-@query()
+_SPLITS = "(SELECT row_number() OVER (ORDER BY r, i) AS id, r, i, text FROM (SELECT 0 AS r, doc_id AS i, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark))"
+
+
+@query(f"""WITH RECURSIVE {grams(f"SELECT id, text FROM {_SPLITS}", strip(strip('text')), False)}, {near(0.8, False)}, {_GREEDY}
+  SELECT CASE p.r WHEN 0 THEN 'train' ELSE 'test' END AS split, p.i AS doc_id, kept, o.r AS original_rank, o.i AS original, similarity FROM told JOIN {_SPLITS} p USING (id) LEFT JOIN {_SPLITS} o ON o.id = told.original""")
 def dedup_cross_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     test = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     return dedup.cross_split({"train": table(spark, sf_dir, "documents").select("doc_id", "text"), "test": test}, 0.8).drop("text")
 
 
-@query()
+@query(f"""WITH RECURSIVE {grams(_DOCS, norm('text'), True)}, src AS (SELECT doc_id AS id, source AS c FROM documents), {near(0.8, True, "(SELECT c FROM src WHERE src.id = x.id) = (SELECT c FROM src WHERE src.id = y.id)")}, {windows('SELECT c, id FROM src', 100)} {_TOLD}""")
 def dedup_windowed_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window runs within each source, so that sources run side by side."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return dedup.windowed_jaccard(docs, 0.8, 100, chunk=F.col("source")).select("doc_id", "kept", "original", "similarity")
 
 
-@query()
+@query(f"""WITH RECURSIVE {grams(_DOCS, strip('text'), False)}, src AS (SELECT doc_id AS id, source AS c FROM documents), {near(0.8, False, "(SELECT c FROM src WHERE src.id = x.id) = (SELECT c FROM src WHERE src.id = y.id)")}, {windows('SELECT c, id FROM src', 100)} {_TOLD}""")
+def dedup_quick_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return dedup.quick_jaccard(docs, 0.8, 100, chunk=F.col("source")).select("doc_id", "kept", "original", "similarity")
+
+
+_PLACES = "src AS MATERIALIZED (SELECT doc_id AS id, (row_number() OVER (ORDER BY doc_id) - 1) // {size} AS c, trim(coalesce(text, '')) AS t FROM documents)"
+_SAME = "(SELECT c FROM src WHERE src.id = x.id) = (SELECT c FROM src WHERE src.id = y.id)"
+
+
+@query(f"""WITH RECURSIVE {grams(_DOCS, strip('text'), False)}, {_PLACES.format(size=200)}, {near(0.8, False, _SAME)}, {windows('SELECT c, id FROM src', 50)} {_TOLD}""")
+def dedup_chunked_quick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.chunked_quick(table(spark, sf_dir, "documents").select("doc_id", "text"), 0.8, 200, 50).select("doc_id", "kept", "original", "similarity")
+
+
+_CHUNK = "(SELECT CASE WHEN n < 1000 THEN greatest(100, n // 4) WHEN n < 10000 THEN greatest(200, n // 4) ELSE greatest(500, least(2000, n // 8)) END FROM (SELECT count(*) AS n FROM documents))"
+
+
+@query(f"""WITH RECURSIVE {grams(_DOCS, strip(strip('text')), False)}, {_PLACES.format(size=_CHUNK)}, {near(0.8, False, _SAME).replace('edges AS', 'with_grams AS')},
+  edges AS MATERIALIZED (SELECT a, b, s FROM with_grams UNION ALL SELECT x.id, y.id, 1.0 FROM src x JOIN src y ON x.id < y.id AND x.c = y.c AND x.t = y.t JOIN sets p ON p.id = x.id AND p.n = 0), {_GREEDY} {_TOLD}""")
+def dedup_chunked_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.chunked_jaccard(table(spark, sf_dir, "documents").select("doc_id", "text"), 0.8, 4).select("doc_id", "kept", "original", "similarity")
+
+
+def _minhash_edges(tokens: str, n: int, b: int, r: int, least: int = 1) -> str:
+    """CTEs up to `bands` and `edges` (a, b, s null): tokens (id, x: hashes; a row with a null x where there are none)."""
+    values = ", ".join(f"({i}, {x}, {y})" for i, (x, y) in enumerate(sketch.coefficients(n)))
+    return f"""tokens AS MATERIALIZED ({tokens}), coef(i, p, q) AS (VALUES {values}),
+    minima AS MATERIALIZED (SELECT id, i, coalesce(min((p::BIGINT * x + q) % {sketch.PRIME}), {sketch.PRIME}) AS v FROM tokens, coef WHERE i < {b * r} GROUP BY id, i),
+    bands AS MATERIALIZED (SELECT id, i // {r} AS band, string_agg(v::VARCHAR, ',' ORDER BY i) AS cell FROM minima GROUP BY id, i // {r}),
+    shared AS MATERIALIZED (SELECT x.id AS a, y.id AS b, count(*) AS n FROM bands x JOIN bands y ON x.band = y.band AND x.cell = y.cell AND x.id < y.id GROUP BY 1, 2 HAVING count(*) >= {least})"""
+
+
+def _char_tokens(words: bool) -> str:
+    """Hashes of character 3-grams of the text without spaces (and of its words)."""
+    h = f"(('0x' || substr(md5(g), 1, 8))::BIGINT) % {sketch.PRIME}"
+    own = "CASE WHEN length(f) >= 3 THEN list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]) WHEN f <> '' THEN [f] ELSE []::VARCHAR[] END"
+    every = f"list_concat({own}, list_filter(string_split(x, ' '), lambda w: w <> ''))" if words else own
+    return f"""SELECT id, CASE WHEN g IS NOT NULL THEN {h} END AS x FROM (SELECT DISTINCT id, unnest(CASE WHEN len(l) = 0 THEN [NULL] ELSE l END) AS g FROM (SELECT id, {every} AS l FROM
+      (SELECT id, x, f, string_split(f, '') AS c FROM (SELECT doc_id AS id, {NORM} AS x, replace({NORM}, ' ', '') AS f FROM documents))))"""
+
+
+_LSH = sketch.area_bands(0.8, 128)
+_SHARED_WALK = f"edges AS MATERIALIZED (SELECT a, b, NULL::DOUBLE AS s FROM shared), {greedy('SELECT doc_id AS id FROM documents', 'edges')}, {resolved('SELECT doc_id AS id FROM documents')} SELECT id AS doc_id, kept, original FROM told"
+
+
+@query(f"WITH RECURSIVE {_minhash_edges(_char_tokens(False), 128, *_LSH)}, {_SHARED_WALK}")
 def dedup_minhash_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.minhash_lsh(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "kept", "original")
 
 
-@query()
+@query(f"WITH RECURSIVE {_minhash_edges(_char_tokens(True), 128, *_LSH)}, {_SHARED_WALK}")
 def dedup_ours_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words and grams of a text go into its sketch."""
     return dedup.minhash_lsh(table(spark, sf_dir, "documents").select("doc_id", "text"), words=None).select("doc_id", "kept", "original")
 
 
-@query()
+_FLAT = r"array_to_string(regexp_extract_all(lower(x), '[\p{L}\p{N}_]+'), '')"
+_SIMHASH = f"""flat AS MATERIALIZED (SELECT id, {_FLAT} AS f, string_split({_FLAT}, '') AS c FROM (SELECT doc_id AS id, {NORM} AS x FROM documents)),
+  counted AS MATERIALIZED (SELECT id, md5(g) AS h, count(*) AS k FROM (SELECT id, unnest(CASE WHEN length(f) < 4 THEN [f] ELSE list_transform(range(1, len(c) - 2), lambda i: c[i] || c[i + 1] || c[i + 2] || c[i + 3]) END) AS g FROM flat) GROUP BY id, g),
+  halves AS MATERIALIZED (SELECT id, k, ('0x' || substr(h, 17, 8))::BIGINT AS hi, ('0x' || substr(h, 25, 8))::BIGINT AS lo FROM counted),
+  prints AS MATERIALIZED (SELECT id, {' + '.join(f'CASE WHEN 2 * sum(k * ((hi >> {i}) & 1)) > sum(k) THEN {1 << i} ELSE 0 END' for i in range(32))} AS hi, {' + '.join(f'CASE WHEN 2 * sum(k * ((lo >> {i}) & 1)) > sum(k) THEN {1 << i} ELSE 0 END' for i in range(32))} AS lo FROM halves GROUP BY id),
+  edges AS MATERIALIZED (SELECT x.id AS a, y.id AS b, 1.0::DOUBLE AS s FROM prints x JOIN prints y ON x.id < y.id WHERE bit_count(xor(x.hi::BIGINT, y.hi::BIGINT)) + bit_count(xor(x.lo::BIGINT, y.lo::BIGINT)) <= 10)"""
+
+
+@query(f"WITH RECURSIVE {_SIMHASH}, {greedy('SELECT id FROM prints', 'edges')}, {resolved('SELECT id FROM prints')} SELECT id AS doc_id, kept, original FROM told")
 def dedup_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.simhash_text(table(spark, sf_dir, "documents").select("doc_id", "text"), window=0).select("doc_id", "kept", "original")
 
@@ -177,6 +282,19 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.sweep(similarity.cosine_edges(table(spark, sf_dir, "embeddings"), NEAR, "vec_id"), [0.3, 0.35, 0.4, 0.45])
 
 
+@query(f"WITH RECURSIVE {EDGES.replace('>=', '>')}, {greedy('SELECT vec_id AS id FROM embeddings', 'edges')} SELECT unnest(kept) AS vec_id FROM (SELECT kept FROM walk ORDER BY n DESC LIMIT 1)")
+def dedup_audio_mfcc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine above (not at) the threshold, as for MFCC vectors."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return resolve.keepers(dedup.audio_pipeline(rows, "mfcc", NEAR, "vec_id", "embedding")).select("vec_id")
+
+
+@query(f"WITH {EDGES} SELECT DISTINCT b AS vec_id FROM edges WHERE ('0x' || substr(md5('42:' || a || ':' || b), 1, 8))::BIGINT < 2147483648")
+def random_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = similarity.cosine_edges(table(spark, sf_dir, "embeddings"), NEAR, "vec_id")
+    return dedup.random_removal(pairs).select(F.col("b").alias("vec_id"))
+
+
 _RANKED = """m AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 1e-12) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2),
   c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY label),
   ranked AS (SELECT vec_id, e.label, embedding, 1 - list_cosine_similarity(embedding::DOUBLE[], c) AS dist FROM embeddings e JOIN c USING (label))"""
@@ -206,16 +324,44 @@ def semdedup_eps_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semdedup.eps_summary(semdedup.matrix_rule(found, EPS)).withColumn("kept_percentage", F.round("kept_percentage", 6))
 
 
-@query()
+def _grouped(label: str) -> str:
+    ranked = _RANKED.replace("label", "g").replace("FROM embeddings", f"FROM (SELECT vec_id, embedding, {label} AS g FROM embeddings)").replace("embeddings e", f"(SELECT vec_id, embedding, {label} AS g FROM embeddings) e")
+    return f"""WITH RECURSIVE {ranked}, placed AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY dist, vec_id) AS id FROM ranked),
+    edges AS MATERIALIZED (SELECT a.id AS a, b.id AS b, {COS} AS s FROM placed a JOIN placed b ON a.g = b.g AND a.id < b.id WHERE {COS} >= {1 - (1 - NEAR)}),
+    {greedy('SELECT id FROM placed', 'edges')}, {resolved('SELECT id FROM placed', by='(-s, a)')}
+    SELECT p.vec_id, kept, o.vec_id AS original, round(similarity, 6) AS similarity FROM told JOIN placed p USING (id) LEFT JOIN placed o ON o.id = told.original"""
+
+
+@query(_grouped("label"))
 def semdedup_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semdedup.grouped(table(spark, sf_dir, "embeddings"), 1 - NEAR, "label").select("vec_id", "kept", "original", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+@query(_grouped("vec_id % 7"))
+def semdedup_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups are the folders of paths."""
+    path = F.concat_ws("/", F.lit("in"), (F.col("vec_id") % 7).cast("string"), F.col("vec_id").cast("string"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", path.alias("path")).withColumn("folder", semdedup.folder_of(F.col("path")))
+    return semdedup.grouped(rows, 1 - NEAR, "folder").select("vec_id", "kept", "original", F.round("similarity", 6).alias("similarity"))
+
+
+# The SQL is for tables of under 2000 vectors: they are one cluster. K-means of larger ones has no SQL form.
+@query(f"WITH RECURSIVE {EDGES.replace(f'>= {NEAR}', f'>= {1 - (1 - NEAR)}')}, {greedy('SELECT vec_id AS id FROM embeddings', 'edges')}, {resolved('SELECT vec_id AS id FROM embeddings')} SELECT id AS vec_id, kept, original FROM told")
 def semdedup_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semdedup.dynamic(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 1 - NEAR).select("vec_id", "kept", "original")
 
 
+@query(f"""WITH e AS (SELECT vec_id, label, embedding, vec_id % 3 = 0 AS listed FROM embeddings), c AS (SELECT label, bool_or(listed) AS any_in, min(vec_id) AS low FROM e GROUP BY label),
+  marked AS (SELECT vec_id, e.label, embedding, CASE WHEN any_in THEN listed ELSE vec_id = low END AS kept FROM e JOIN c USING (label)),
+  near AS (SELECT b.vec_id, arg_min(a.vec_id, (-{COS}, a.vec_id)) AS original, max({COS}) AS s FROM marked b JOIN marked a ON a.label = b.label AND a.kept AND NOT b.kept GROUP BY 1)
+  SELECT vec_id, kept, original, round(s, 6) AS similarity FROM marked LEFT JOIN near USING (vec_id)""")
+def semdedup_keep_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A given keep list (every third vector) applied to clusters."""
+    rows = table(spark, sf_dir, "embeddings")
+    keep = rows.where("vec_id % 3 = 0").select(F.col("vec_id").alias("id"))
+    return semdedup.apply_keep_list(rows, keep, "label").select("vec_id", "kept", "original", F.round("similarity", 6).alias("similarity"))
+
+
 @query()
 def kmeans_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semdedup.kmeans(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 10).select("vec_id", "cluster")
@@ -229,7 +375,10 @@ def dedup_bits_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.keepers(dedup.bits_jaccard(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 0.5)).select("vec_id")
 
 
-@query()
+_BIT_TOKENS = "SELECT vec_id AS id, unnest(CASE WHEN len(p) = 0 THEN [NULL] ELSE list_transform(p, lambda i: i::BIGINT) END) AS x FROM (SELECT vec_id, list_filter(list_transform(range(1, len(embedding) + 1), lambda i: CASE WHEN embedding[i] > 0 THEN i END), lambda x: x IS NOT NULL) AS p FROM embeddings)"
+
+
+@query(f"WITH RECURSIVE {_BITS}, {_minhash_edges(_BIT_TOKENS, 200, 40, 5, 2)}, edges AS MATERIALIZED (SELECT shared.a, shared.b, 1.0::DOUBLE AS s FROM shared JOIN jac USING (a, b)), {greedy('SELECT vec_id AS id FROM embeddings', 'edges')}, {resolved('SELECT vec_id AS id FROM embeddings')} SELECT id AS vec_id, kept, original FROM told")
 def dedup_bits_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.bits_lsh(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 0.5, 40, 5).select("vec_id", "kept", "original")
 
@@ -267,7 +416,21 @@ def classify_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", classify.json_object_label(F.col("props")).alias("label"))
 
 
-@query()
+_CODES = "[" + ", ".join(f"'{c:02X}'" for c in classify.UNPRINTABLE) + "]"
+_SUFFIXES = {k: "(" + ", ".join(f"'{x}'" for x in v) + ")" for k, v in (("image", classify.IMAGE_SUFFIXES), ("audio", classify.AUDIO_SUFFIXES), ("text", classify.TEXT_SUFFIXES), ("strict_image", classify.STRICT_IMAGE), ("strict_audio", classify.STRICT_AUDIO))}
+
+
+# JSON contents are told as text: pages hold none.
+@query(rf"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '[^/\\.][^/\\]*?(\.[^./\\]*)$', 1)) AS s, strlen(html) AS size, left(hex(html), {2 * classify.HEADER_BYTES}) AS h FROM pages),
+  q AS (SELECT page_id, s, size, CASE WHEN regexp_matches(h, '^(89504E470D0A1A0A|474946383761|474946383961)') THEN 'image' WHEN regexp_matches(h, '^(52494646.{{8}}57415645|494433|664C6143)') THEN 'audio'
+      WHEN regexp_matches(h, '^(..)*(6D657461646174613A696D616765|3C[57]3[57]6[46]7)') THEN 'image' WHEN regexp_matches(h, '^(20|09|0A|0D|0B|0C)*(7B|5B)') THEN 'text' END AS m,
+    h <> '' AND len(list_filter(regexp_extract_all(h, '..'), lambda b: NOT list_contains({_CODES}, b))) >= {classify.PRINTABLE_SHARE} * length(h) / 2 AS ok FROM p),
+  r AS (SELECT page_id, s, CASE WHEN s IN {_SUFFIXES['strict_image']} THEN 'image' WHEN s IN {_SUFFIXES['strict_audio']} THEN 'audio' WHEN size IS NULL THEN 'error' WHEN size = 0 THEN 'unknown'
+    WHEN s = '.json' THEN coalesce(m, CASE WHEN ok THEN 'text' ELSE 'unknown' END) WHEN s IN {_SUFFIXES['image']} THEN coalesce(m, 'image')
+    WHEN s IN {_SUFFIXES['audio']} THEN CASE WHEN m IN ('audio', 'image') THEN m WHEN m = 'text' THEN CASE WHEN ok THEN 'text' ELSE 'unknown' END WHEN ok THEN 'text' ELSE 'audio' END
+    WHEN s IN {_SUFFIXES['text']} THEN CASE WHEN m IN ('image', 'audio') THEN m ELSE 'text' END
+    ELSE CASE WHEN m IS NOT NULL THEN m WHEN ok THEN 'text' ELSE 'unknown' END END AS content_category FROM q)
+  SELECT page_id, content_category, CASE WHEN content_category = 'image' AND s NOT IN {_SUFFIXES['strict_image']} THEN 'unknown' WHEN content_category = 'audio' AND s NOT IN {_SUFFIXES['strict_audio']} THEN 'unknown' ELSE content_category END AS category FROM r""")
 def classify_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"), F.col("html").cast("binary").alias("content"))
     found = pages.withColumn("content_category", classify.category(F.col("path"), F.length("content"), F.col("content")))
@@ -318,10 +481,11 @@ def class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("label", "support", "hits", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query(f"WITH {MD5} SELECT doc_id FROM md5_rows WHERE text NOT IN (SELECT text FROM md5_rows WHERE kept) ORDER BY doc_id LIMIT 50")
+@query(f"WITH RECURSIVE {_PIPELINE}, {_GREEDY} SELECT doc_id FROM documents WHERE text NOT IN (SELECT text FROM documents JOIN told ON id = doc_id WHERE kept) ORDER BY doc_id LIMIT 50")
 def removed_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 50 near copies that went and whose very text is not among those kept."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return stats.removed_preview(docs, resolve.keepers(dedup.md5_text(docs))).select("doc_id")
+    return stats.removed_preview(docs, resolve.keepers(dedup.jaccard_text(docs))).select("doc_id")
 
 
 @query(r"SELECT page_id, nullif(regexp_extract(url, '(\d+)', 1), '') AS number FROM pages")
