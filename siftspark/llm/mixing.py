@@ -147,6 +147,6 @@ def draw(planned: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def mix(rows: DataFrame, n_shards: int = 16, seed: int = SEED, **how: object) -> DataFrame:
-    """plan() and draw(): the columns of rows but size and mix_key, and shard."""
-    kept = [F.col(f"`{c}`") for c in rows.columns if c.lower() not in ("size", "mix_key", "shard")]
+    """plan() and draw(): the columns of rows but size, mix_key and those called as an output of plan(), and shard."""
+    kept = [F.col(f"`{c}`") for c in rows.columns if c.lower() not in ("size", "mix_key", "shard", "source_size", "target", "taken", "shards")]
     return draw(plan(rows, n_shards, seed=seed, **how), seed).select(*kept, "shard")

@@ -44,7 +44,8 @@ def bands(found: np.ndarray) -> list[int]:
 
 
 def with_sets(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with near: the key and size of the text's shingle set and its bands."""
+    """docs with near: the key and size of the text's shingle set and its bands. A column so called gives way; null and
+    empty texts have no bands."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("struct<key: long, size: long, bands: array<long>>")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftspark.llm.shared import components, cut, fresh, small_batches
+from siftspark.llm.shared import batch_rows, components, cut, fresh, small_batches, stored
 
 RADIUS, SHINGLE, BITS = 4, 4, 64
 #: Fan-out of the index, and queries that are searched at once.
@@ -181,12 +181,13 @@ def links(fingerprints: DataFrame, fp_col: str = "fp", radius: int = RADIUS) ->
     # signed order of the rank with its top bit flipped is the unsigned order
     rows = rows.select("bucket", "fp", F.col(g).bitwiseXOR(F.lit(-(1 << 63))).alias("rank"))
     n_tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-    return rows.repartition(n_tasks, "bucket").sortWithinPartitions("bucket", "rank").select("bucket", "fp").mapInPandas(_sets(radius), "a long, b long")
+    dealt = rows.repartition(n_tasks, "bucket").sortWithinPartitions("bucket", "rank").select("bucket", "fp")
+    with batch_rows(spark, 1 << 16):
+        return stored(dealt.mapInPandas(_sets(radius), "a long, b long"), "links")
 
 
 def with_fingerprints(docs: DataFrame, text_col: str = "text", fp_col: str = "fp", shingle: int = SHINGLE) -> DataFrame:
-    """docs with fp (long: the 64 bits, signed). Null and empty texts have 0."""
+    """docs with fp (long: the 64 bits, signed); a column so called gives way. Null and empty texts have 0."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")

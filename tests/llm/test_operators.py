@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftspark.llm import ann, bpe, classifier, mixing, rules, secrets, sharding, simhash, suffixes, warc
+from siftspark.llm import ann, bpe, classifier, mixing, rules, secrets, sharding, shared, simhash, suffixes, warc
 from siftspark.llm.shared import components
 from tests.llm.test_pieces import PATH, brute_fingerprint
 
@@ -309,3 +309,72 @@ def test_common_lines_deplete_documents(spark):
     cleaned = rules.clean(docs, rules.common_lines(docs, line_share=0, line_least=10)).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"], len((r["text"] or "").split())) for r in cleaned if r["doc_id"] is not None) == sorted((False, i, r["words_left"]) for (i, _), r in out.items() if i is not None for _ in range(sum(d["doc_id"] == i for d in cleaned)))
     assert [r["text"] for r in cleaned if r["doc_id"] == 26] == [None]
+
+
+ODD = ("k", "at", "h", "copied", "found", "blob", "host_key", "words_lost", "text_key", "sid", "block", "before", "draws", "no", "left", "row", "of", "fp", "near", "bucket", "q", "v", "id", "payload", "digest", "me", "size", "first", "rank", "lines", "kept", "_found", "_blob", "_sid", "_host", "shards", "target")
+
+
+def with_odd_columns(docs):
+    return docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(ODD) if c not in docs.columns])
+
+
+def test_columns_of_any_name_pass(spark):
+    docs = with_odd_columns(documents(spark))
+    n = docs.count()
+    plain = documents(spark)
+    same = lambda out, other, *cols: Counter(map(str, out.select(*cols).collect())) == Counter(map(str, other.select(*cols).collect()))
+    assert same(suffixes.repeats(docs), suffixes.repeats(plain), "doc_id", "n_removed", "kept_sha256")
+    assert same(secrets.scan(docs), secrets.scan(plain), "doc_id", "secrets")
+    assert same(rules.judge(docs), rules.judge(plain), "doc_id", "kept", "words_left")
+    assert same(bpe.encode(docs, PATH), bpe.encode(plain, PATH), "doc_id", "ids")
+    assert mixing.plan(mixing.measured(docs)).count() == n and mixing.mix(mixing.measured(docs), 3).columns[-1] == "shard"
+    assert sharding.spread(docs, 3).count() == n
+    prints = simhash.with_fingerprints(docs.drop("fp")).drop("text")
+    assert same(simhash.classes(prints), simhash.classes(simhash.with_fingerprints(plain)), "doc_id", "component_id")
+    assert {"copied", "found", "blob", "_found", "sid", "row"} <= set(secrets.scan(docs).columns) & set(suffixes.repeats(docs).columns)
+    pages = with_odd_columns(spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (3, None, None)], "page_id long, url string, html string"))
+    assert sorted((r["metadata"]["page_id"], r["reply"]["kind"]) for r in warc.captures(warc.read(spark, warc.write(pages))).collect()) == [(1, "revisit"), (2, "response"), (3, "response")]
+    vectors = with_odd_columns(spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(30)], "vec_id long, embedding array<float>"))
+    assert ann.search(vectors, F.col("vec_id") % 20 == 0, k=3).count() == 6
+    labels = with_odd_columns(spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, quality int"))
+    assert classifier.score(docs, classifier.train(docs, labels)).count() == n
+
+
+def test_very_long_texts(spark):
+    text = "long words of many kinds here " * 200_000
+    docs = spark.createDataFrame([(0, text, "a"), (1, text[:-1] + "!", "a"), (2, "short one", "b")], "doc_id long, text string, source string")
+    assert classifier.features(text)[0] > 15
+    out = mixing.plan(mixing.measured(docs), 2).collect()
+    assert {r["doc_id"]: r["size"] for r in out} == {0: 1_200_000, 1: 1_200_000, 2: 2}
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    seen = warc.captures(warc.read(spark, warc.write(pages), with_payload=False)).collect()
+    assert sorted(r["reply"]["payload_bytes"] for r in seen) == [9, len(text), len(text)]
+
+
+def test_settings_come_back(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    docs = documents(spark)
+    simhash.classes(simhash.with_fingerprints(docs)).count()
+    suffixes.repeats(docs).count()
+    warc.read(spark, warc.write(docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html")))).count()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "100"
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_no_folder_of_its_own_on_a_cluster(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(Session())

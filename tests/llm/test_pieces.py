@@ -1,5 +1,6 @@
 """The operators' inner parts against brute force, without Spark."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -178,6 +179,35 @@ def test_features_of_odd_texts():
         assert f.shape == (len(classifier.FEATURES),) and np.isfinite(f).all()
 
 
+def test_forest_walks_as_its_trees_say():
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(400, 5)), 1)
+    forest = classifier.fit(x, (x[:, 0] * x[:, 1] > 0).astype(float), trees=7, depth=3)
+    inner = forest.feature.shape[1]
+
+    def one(row):
+        total = forest.base
+        for feature, threshold, leaf in zip(forest.feature, forest.threshold, forest.leaf):
+            node = 0
+            while node < inner:
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            total += leaf[node - inner]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(forest.scores(x), [one(r) for r in x]) and len(forest.leaf) == 7
+
+
+def test_splitting_tree_draws_as_the_hypergeometric_law():
+    # a shard of three gets a third of all draws; of a source's 12 of 36 draws it has k with the hypergeometric chance
+    quotas, draws = np.array([12, 24]), 4000
+    got = Counter(int(np.diff(mixing.split_quotas(quotas, 3, [s]), axis=1)[0, 1]) for s in range(draws))
+    want = {k: math.comb(12, k) * math.comb(24, 12 - k) / math.comb(36, 12) for k in range(13)}
+    chi = sum((got[k] - draws * p) ** 2 / (draws * p) for k, p in want.items() if draws * p >= 5)
+    assert chi < 30 and abs(sum(k * n for k, n in got.items()) / draws - 4) < 0.1
+    several = [np.diff(mixing.split_quotas(np.array([5, 9, 16]), 4, [s]), axis=1) for s in range(2000)]
+    assert np.allclose(np.mean(several, axis=0), np.outer([5, 9, 16], [7, 8, 7, 8]) / 30, atol=0.2)
+
+
 def test_splitting_tree_keeps_quotas():
     q = np.array([10, 0, 7, 1])
     bounds = mixing.split_quotas(q, 6, [1])

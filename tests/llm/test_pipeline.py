@@ -72,3 +72,21 @@ def test_near_copies_beyond_the_fingerprints_radius_go(spark):
 def test_registry():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries()] == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
     assert secrets.RULES[0].version != secrets.RULES[1].version and F.lit(1) is not None
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    rows = [(0, None, None, None, None), (None, "a b c", "en", "s", 5), (1, "", "en", None, 0), (2, "same text here", "en", "s", 14), (2, "same text here", "en", "s", 14), (3, "same text here", "en", "t", 14), (4, "token: abcdefghijklmnop " * 30, "en", "s", 720), (5, "word " * 30_000, None, "", 150_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("near", F.lit(1)).withColumn("secrets", F.lit("x"))
+    spark.createDataFrame([(2, 1), (4, 0), (None, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        got = out.collect()
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        if name == "SimHash near-dedup":
+            assert sorted(str(r["doc_id"]) for r in got) == ["0", "2", "4", "5", "None"]  # empty texts are one group
+        elif name == "secret scans":
+            assert len(got) == len(rows) and not any("abcdefghijklmnop" in (r["text"] or "") for r in got)
+        elif name == "mixing sources":
+            assert {r["doc_id"] for r in got} <= {None, 2, 3, 4, 5} and max(sum(r["doc_id"] == i for r in got) for i in (3, 4, 5)) <= 2
+        elif name == "BPE encoding":
+            assert len(got) == len(rows) and sum(r["n_tokens"] == 0 for r in got) == 2
