@@ -107,3 +107,15 @@ def test_printable_share(spark):
 def test_json_of_columns(spark):
     given = ['{"audio": 1}', '{"url": "http://x/a.webp"}', "no json", "[1]", None]
     assert column(spark, given, "string", classify.json_object_label) == ["audio", "image", None, None, None]
+
+
+def test_sql_functions(spark):
+    from siftspark.functions import sketch, sql
+
+    names = sql.register(spark, "sift_")
+    assert {"sift_text_normalize", "sift_jaccard", "sift_cosine", "sift_hamming", "sift_classify_json", "sift_ngrams", "sift_minhash", "sift_simhash"} == set(names)
+    one = lambda q: spark.sql(f"SELECT {q} AS v").first()["v"]
+    assert one("sift_text_normalize('  A -  b!\\n')") == "a b" and one("sift_jaccard(array('a', 'b'), array('b', 'c'))") == 1 / 3 and one("sift_jaccard(array(), array())") == 1.0
+    assert abs(one("sift_cosine(array(1D, 0D), array(1D, 1D))") - 0.5**0.5) < 1e-12 and one("sift_hamming(5L, 6L)") == 2
+    assert one("sift_classify_json('{\"audio\": 1, \"text\": 2}')") == "audio" and one("sift_classify_json('{\"url\": \"x.PNG\"}')") == "image" and one("sift_classify_json('[1]')") is None
+    assert one("sift_ngrams('abcd', 3)") == ["abc", "bcd"] and len(one("sift_minhash(array('a'), 7)")) == 7 and one("sift_simhash('some text')") == sketch.simhash_of("some text")

@@ -224,3 +224,32 @@ def test_quick_test(spark):
     rows = frame(spark, [(10, 10, 10, 10, 5), (10, 30, 10, 10, 5), (10, 10, 10, 20, 5), (10, 10, 10, 10, 2), (0, 10, 0, 10, 0)], "a int, b int, x int, y int, o int")
     got = [bool(r[0]) for r in rows.select(F.coalesce(text.may_be_similar(*[F.col(c) for c in "abxyo"]), F.lit(False))).collect()]
     assert got == [True, False, False, False, False]
+
+
+def test_cleaning_modes(spark):
+    words = [f"text number {i % 40} with some words that are its own {i % 40} {i % 40}" for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(words)], "doc_id long, text string")
+    kept = lambda df: sorted(r["doc_id"] for r in df.where("kept").collect())
+    assert kept(dedup.clean_split(docs, threshold=0.99)) == kept(dedup.clean_split(docs, "parallel", threshold=0.99)) == list(range(40))
+    assert kept(dedup.clean_split(docs, "fast", threshold=0.99)) == list(range(60))  # a window of six kept rows sees no copy
+    assert kept(dedup.chunked_quick(docs, 0.99, 25, 5)) == list(range(60)) and kept(dedup.chunked_quick(docs, 0.99, 60, 50)) == list(range(40))
+    with pytest.raises(ValueError):
+        dedup.clean_split(docs, "other")
+
+
+def test_places_in_order(spark):
+    rows = spark.range(0, 997).selectExpr("(id * 7919) % 10007 AS k")
+    want = {k: i for i, k in enumerate(sorted(r["k"] for r in rows.collect()))}
+    assert {r["k"]: r["place"] for r in fold.numbered(rows, "k").collect()} == want
+    assert fold.numbered(rows.limit(0), "k").count() == 0
+
+
+def test_hamming_pairs_at_any_radius(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(1 << 62), 1 << 62, 40)
+    values = [int(b) ^ sum(1 << int(i) for i in rng.choice(63, int(rng.integers(0, 9)), replace=False)) for b in base for _ in range(4)]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, bits long")
+    distance = lambda a, b: ((values[a] ^ values[b]) & (1 << 64) - 1).bit_count()
+    for radius in (0, 2, 7, 10):
+        got = {(r["a"], r["b"]) for r in similarity.hamming_edges(rows, radius).collect()}
+        assert got == {(a, b) for a in range(160) for b in range(a + 1, 160) if distance(a, b) <= radius}

@@ -1,13 +1,16 @@
 import json
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from siftspark.operators import lookup, semdedup
 from siftspark.plans import pipeline
 from siftspark.sources import files, manifest, sinks
 from siftspark.streaming import dedup as streams
+from tests.test_media import png, tone, wav
 
 
 @pytest.fixture
@@ -94,6 +97,125 @@ def test_streams(spark, tmp_path):
     assert sorted((r["id"], r["kept"]) for r in spark.table("win").collect()) == [(1, True), (2, False), (3, True)]
 
 
+def test_broken_lines_lose_no_rows(spark, tmp_path):
+    good = ['{"text": "x", "label": 1}', '{"text": "y", "label": 2}', '{"text": "z", "label": 3}']
+    for name, lines, bad in (("a.jsonl", [good[0], "{broken", *good[1:]], 1), ("b.json", ["{broken", *good, "also broken"], 2), ("c.jsonl", good, 0)):
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+        rows = files.read_dataset(spark, str(tmp_path / name))
+        assert sorted((r["text"], r["label"]) for r in rows.collect()) == [("x", 1), ("y", 2), ("z", 3)], name
+        assert files.bad_rows(spark, str(tmp_path / name)).count() == bad, name
+    (tmp_path / "d.json").write_text(json.dumps({"data": [{"text": "x"}, {"text": "y"}]}, indent=2))
+    assert sorted(r["text"] for r in files.read_dataset(spark, str(tmp_path / "d.json")).collect()) == ["x", "y"]
+    (tmp_path / "e.json").write_text(json.dumps({"text": "x", "n": [1]}, indent=2))
+    assert [r["text"] for r in files.read_dataset(spark, str(tmp_path / "e.json")).collect()] == ["x"]
+    (tmp_path / "f.json").write_text("nothing\nat all\n")
+    assert files.read_dataset(spark, str(tmp_path / "f.json")).count() == 0 and files.bad_rows(spark, str(tmp_path / "f.json")).count() == 2
+
+
+def test_more_readers(spark, tmp_path):
+    (tmp_path / "j.txt").write_text('{"text": "a {", "label": 1}{"text": "b", "label": "q"} junk { {"text": "c"}\n{"text": "d", "label": 0}')
+    assert sorted(map(tuple, files.read_concatenated(spark, str(tmp_path / "j.txt")).collect())) == [("a {", "1"), ("b", "q"), ("d", "0")]
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "one.json").write_text('["http://x/a.png", {"url": "u", "caption": "c"}]')
+    (tmp_path / "r" / "two.json").write_text('[{"img": "i"}]')
+    rows = files.json_records(spark, str(tmp_path / "r")).collect()
+    assert sorted(rows[0].asDict()) == ["caption", "img", "url"] and sorted(str(r["url"]) for r in rows) == ["None", "http://x/a.png", "u"]
+    assert [r["kind"] for r in files.list_datasets(spark, str(tmp_path / "r")).collect()] == ["json", "json"]
+    m = np.arange(12, dtype=np.float32).reshape(3, 4)
+    np.save(tmp_path / "e.npy", m)
+    m.tofile(tmp_path / "e.bin")
+    for name in ("e.npy", "e.bin"):
+        assert sorted((r["idx"], tuple(r["embedding"])) for r in files.raw_vectors(spark, str(tmp_path / name), 4).collect()) == [(i, tuple(v)) for i, v in enumerate(m)]
+    (tmp_path / "c").mkdir()
+    np.save(tmp_path / "c" / "cluster_0.npy", np.array([["p/a", "0", "0.1", "0"], ["p/b", "1", "0.2", "0"]]))
+    (tmp_path / "c" / "cluster_0.txt").write_text("9\tnot\t1\n")
+    (tmp_path / "c" / "cluster_1.txt").write_text("2\tp/c\t0.5\nbad line\n3\tp/d\t0.1\n")
+    wanted = spark.createDataFrame([(0,), (2,), (9,)], "idx long")
+    assert sorted(map(tuple, files.cluster_members(spark, str(tmp_path / "c"), wanted).select("cluster", "idx", "path").collect())) == [(0, 0, "p/a"), (1, 2, "p/c")]
+    shown = files.preview(spark.createDataFrame([("ab", 1)] * 9, "t string, n int")).collect()
+    assert len(shown) == 10 and {(r["field"], r["type"], r["length"]) for r in shown} == {("t", "string", 2), ("n", "int", 1)}
+
+
+def test_copies_sweeps_and_removal_lists(spark, tmp_path):
+    for name in ("x/a.txt", "y/a.txt", "y/b.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    paths = spark.createDataFrame([(f"file:{tmp_path}/{n}", k) for n, k in (("x/a.txt", "t"), ("y/a.txt", "t"), ("y/b.txt", "u"), ("y/none", "u"))], "path string, kind string")
+    told = lambda out: sorted(r["status"] for r in out.collect())
+    assert told(sinks.copy_files(paths, str(tmp_path / "o1"))) == ["linked", "linked", "linked", "missing"] and sorted(os.listdir(tmp_path / "o1")) == ["a.txt", "a_1.txt", "b.txt"]
+    assert told(sinks.copy_files(paths, str(tmp_path / "o2"), same_name="skip")) == ["linked", "linked", "missing", "skipped"]
+    assert sorted(os.listdir(tmp_path / "o2")) == ["a.txt", "b.txt"]
+    assert told(sinks.copy_files(paths, str(tmp_path / "o3"), category_col="kind")) == ["linked", "linked", "linked", "missing"]
+    assert sorted(os.listdir(tmp_path / "o3")) == ["t", "u"]
+    assert told(sinks.copy_files(paths.where("kind = 'u'"), str(tmp_path / "o4"), move=True)) == ["copied", "missing"] and not (tmp_path / "y/b.txt").exists()
+    assert sinks.subset(paths.where("kind = 't'"), 2, str(tmp_path / "o5")).where("status = 'linked'").count() == 2 and sorted(os.listdir(tmp_path / "o5")) == ["x", "y"]
+    rows = spark.createDataFrame([(i, f"f{i}") for i in range(10)], "id long, name string")
+    told = sinks.write_removal(rows, rows.where("id < 3"), str(tmp_path / "rm"), "id", "set")
+    assert told["kept_files_count"] == 7 and told["dedup_rate"] == 0.3 and json.loads((tmp_path / "rm" / "metadata.json").read_text()) == told
+    assert "30.00%" in (tmp_path / "rm" / "report.txt").read_text() and spark.read.json(str(tmp_path / "rm" / "keep_files")).count() == 7
+    sinks.write_sweep(rows.withColumn("threshold", F.lit(0.5)), str(tmp_path / "sw"))
+    assert (tmp_path / "sw" / "threshold=0.5").is_dir()
+    swept = semdedup.matrix_rule(spark.createDataFrame([(1, 0, 0.1), (2, 0, 0.5)], "vec_id long, cluster int, m double"), [0.6, 0.8])
+    sinks.write_kept_lists(swept, str(tmp_path / "kl"))
+    kept = spark.read.option("header", True).csv(str(tmp_path / "kl"))
+    assert sorted((r["eps"], r["vec_id"]) for r in kept.collect()) == [(0.6, "1"), (0.8, "1")]
+    assert sinks.gather(rows, spark.createDataFrame([(4,)], "id long"), "id").count() == 1
+    assert not sinks.write_duplicates(spark.createDataFrame([], "original string"), str(tmp_path / "none")) and not (tmp_path / "none").exists()
+
+
+def test_removed_ids_name_files(spark):
+    paths = spark.createDataFrame([("d/audio_7.wav",), ("d/audio_2.wav",), ("d/audio_40.wav",)], "path string")
+    ids = spark.createDataFrame([(0,), (2,), (40,), (99,)], "id long")
+    assert sorted((r["id"], r["path"]) for r in lookup.removed_files(ids, paths).collect() if r["path"]) == [(0, "d/audio_2.wav"), (2, "d/audio_7.wav"), (40, "d/audio_40.wav")]
+
+
+def test_media_runs(spark, tmp_path):
+    root, rng = tmp_path / "in", np.random.default_rng(4)
+    root.mkdir()
+    picture = rng.integers(0, 256, (64, 64, 3), dtype=np.uint8)
+    near, other = picture.copy(), np.full((64, 64, 3), (250, 10, 10), np.uint8)
+    near[0, 0] = 0
+    for name, data in (("a.png", png(picture)), ("b.png", png(near)), ("c.png", png(other)), ("d.png", b"\x89PNG broken"), ("a.wav", wav(tone(700))), ("b.wav", wav(tone(700))), ("c.wav", b"RIFF1234WAVE"), ("t.txt", b"one two three")):
+        (root / name).write_bytes(data)
+    base = {"input_root": str(root), "output_root": str(tmp_path / "out"), "text": {"method": "md5"}}
+    kept = lambda df: sorted(os.path.basename(r["path"]) for r in df.where("kept").collect())
+    out = pipeline.Pipeline(spark, pipeline.load_config(None, **base)).run()
+    assert kept(out["image"]) == ["a.png", "c.png"] and [os.path.basename(r["path"]) for r in out["image"].where("missing").collect()] == ["d.png"]
+    assert kept(out["audio"]) == ["a.wav", "c.wav"]  # equal hashes; what cannot be heard is kept
+    made = pipeline.Pipeline(spark, pipeline.load_config(None, **base)).root
+    told = json.loads(open(f"{made}/summary.json").read())
+    assert {m["modality"] for m in told["modalities"]} == {"image", "audio", "text", None} and "| image | 4 |" in open(f"{made}/report.md").read()
+    assert os.path.isdir(f"{made}/image-duplicates.json") and not os.path.isdir(f"{made}/text-duplicates.json")
+    for method in ("jaccard", "lsh", "mfcc", "md5"):
+        how = {"audio": {"method": method} | ({} if method == "md5" else {"threshold": 0.75}), "image": {"method": "pairwise", "eps": 0.05}}
+        out = pipeline.Pipeline(spark, pipeline.load_config(None, **base, **how)).run()
+        assert kept(out["audio"]) == ["a.wav", "c.wav"] and kept(out["image"]) == ["a.png", "c.png"], method
+    # an earlier run's clusters and keep list
+    (tmp_path / "cl").mkdir()
+    (tmp_path / "cl" / "cluster_0.txt").write_text("".join(f"{i}\tfile:{root}/{n}\t0.1\n" for i, n in enumerate(("a.png", "b.png", "c.png"))))
+    (tmp_path / "keep.txt").write_text("1\n")
+    legacy = {"method": "legacy", "eps": 0.1, "cluster_dir": str(tmp_path / "cl"), "keep_indices_file": str(tmp_path / "keep.txt")}
+    out = pipeline.Pipeline(spark, pipeline.load_config(None, **base, image=legacy)).run()
+    assert kept(out["image"]) == ["b.png"] and {os.path.basename(r["original"]) for r in out["image"].where("original is not null").collect()} == {"b.png"}
+    with pytest.raises(ValueError):
+        pipeline.Pipeline(spark, pipeline.load_config(None, **base, image={"method": "legacy", "eps": 0.2, "cluster_dir": None})).run()
+    later = pipeline.load_config(None, **base, sorter=False, copy=True)
+    assert pipeline.Pipeline(spark, later).run()["manifest"].count() == 8
+
+
+def test_locks_and_failures(spark, tree, tmp_path):
+    config = pipeline.load_config(None, input_root=tree, output_root=str(tmp_path / "out"), text={"method": "none"}, image={"method": "file_hash"}, audio={"method": "md5"})
+    run = pipeline.Pipeline(spark, config)
+    with pytest.raises(ValueError):
+        run.run()
+    assert "unknown text method" in open(f"{run.root}/text._FAILURE").read() and not os.path.exists(f"{run.root}/_LOCK")
+    open(f"{run.root}/_LOCK", "w").close()
+    with pytest.raises(pipeline.Locked):
+        run.run()
+    with pytest.raises(FileNotFoundError):
+        pipeline.latest_manifest(spark, str(tmp_path / "nowhere"))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
