@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from siftspark.functions import sketch, text, vectors
 from siftspark.operators import fold, similarity
 from siftspark.operators.resolve import resolve
-from siftspark.session import checkpointed
+from siftspark.session import checkpointed, spread
 
 def _bare(rows: DataFrame) -> DataFrame:
     return rows.drop("kept", "original", "similarity")
@@ -27,7 +27,7 @@ def by_key(rows: DataFrame, key: Column, order_col: str, key_col: str | None = N
     The key is evaluated once, in a thin table; what the key was made of is only carried if the result uses it.
     key_col: the key's name in the result.
     """
-    thin = checkpointed(rows.select(F.col(order_col).alias("_at"), key.alias("_key")))
+    thin = checkpointed(spread(rows).select(F.col(order_col).alias("_at"), key.alias("_key")))
     firsts = thin.where("_key is not null").groupBy(F.col("_key").alias("_of")).agg(F.min("_at").alias("_first"))
     told = thin.join(firsts, F.col("_key") == F.col("_of"), "left").select(
         "_at", *([F.col("_key").alias(key_col)] if key_col else []), (F.col("_first").isNull() | (F.col("_at") == F.col("_first"))).alias("kept"),
@@ -53,7 +53,7 @@ def file_hash(files: DataFrame, order_col: str = "path", content_col: str = "con
 def jaccard_text(docs: DataFrame, threshold: float = 0.8, n: int = 3, order_col: str = "doc_id", text_col: str = "text", dataset_rules: bool = False, both_empty: bool = True) -> DataFrame:
     """Greedy near-duplicates by n-gram Jaccard. dataset_rules: the other normalisation, and no grams for short texts."""
     clean = text.normalize_strip if dataset_rules else text.normalize
-    grams = checkpointed(docs.select(F.col(order_col).alias("id"), text.gram_hashes(clean(F.coalesce(F.col(text_col), F.lit(""))), n, not dataset_rules).alias("grams")))
+    grams = checkpointed(spread(docs.select(order_col, text_col)).select(F.col(order_col).alias("id"), text.gram_hashes(clean(F.coalesce(F.col(text_col), F.lit(""))), n, not dataset_rules).alias("grams")))
     return resolve(_bare(docs), similarity.jaccard_edges(grams, threshold, both_empty=both_empty), order_col)
 
 
@@ -65,7 +65,7 @@ def cross_split(splits: dict[str, DataFrame], threshold: float = 0.8, n: int = 3
     names = sorted(splits, key=lambda s: ({"train": 0, "test": 1}.get(s, 2), s))
     rows = reduce(DataFrame.unionByName, [splits[s].select(F.struct(F.lit(i).alias("rank"), F.col(order_col).alias("id")).alias("at"), F.lit(s).alias("split"), F.col(text_col).alias("text")) for i, s in enumerate(names)])
     clean = text.normalize_strip(text.normalize_strip(F.coalesce("text", F.lit(""))))
-    grams = checkpointed(rows.select(F.col("at").alias("id"), text.gram_hashes(clean, n, False).alias("grams")))
+    grams = checkpointed(spread(rows).select(F.col("at").alias("id"), text.gram_hashes(clean, n, False).alias("grams")))
     done = resolve(rows, similarity.jaccard_edges(grams, threshold, both_empty=False), "at")
     return done.select("split", F.col("at.id").alias(order_col), "text", "kept", F.col("original.rank").alias("original_rank"), F.col("original.id").alias("original"), "similarity")
 
@@ -76,13 +76,13 @@ def _joined(docs: DataFrame, done: DataFrame, order_col: str) -> DataFrame:
 
 def windowed_jaccard(docs: DataFrame, threshold: float = 0.8, window: int = 100, n: int = 3, order_col: str = "doc_id", text_col: str = "text", both_empty: float = 1.0, chunk: Column | None = None) -> DataFrame:
     """Near-duplicates among the last `window` kept rows of a chunk, or of the whole table in order without one (by one task)."""
-    grams = docs.withColumn("_grams", text.gram_hashes(text.normalize(F.coalesce(F.col(text_col), F.lit(""))), n))
+    grams = spread(docs).withColumn("_grams", text.gram_hashes(text.normalize(F.coalesce(F.col(text_col), F.lit(""))), n))
     return _joined(docs, fold.windowed(grams, fold.jaccard_at_least(threshold, both_empty), "_grams", order_col, window, chunk, prepare=fold.as_set), order_col)
 
 
 def quick_jaccard(docs: DataFrame, threshold: float = 0.8, sample_size: int = 100, n: int = 3, order_col: str = "doc_id", text_col: str = "text", chunk: Column | None = None) -> DataFrame:
     """As windowed_jaccard(), by the dataset rules; empty texts are like nothing."""
-    grams = docs.withColumn("_grams", text.gram_hashes(text.normalize_strip(F.coalesce(F.col(text_col), F.lit(""))), n, False))
+    grams = spread(docs).withColumn("_grams", text.gram_hashes(text.normalize_strip(F.coalesce(F.col(text_col), F.lit(""))), n, False))
     return _joined(docs, fold.windowed(grams, fold.jaccard_at_least(threshold, 0.0), "_grams", order_col, sample_size, chunk, prepare=fold.as_set), order_col)
 
 
@@ -144,14 +144,14 @@ def minhash_lsh(docs: DataFrame, threshold: float = 0.8, num_perm: int = 128, n:
     """
     b, r = sketch.area_bands(threshold, num_perm)
     grams = text.char_grams(text.normalize(F.coalesce(F.col(text_col), F.lit(""))), n, words, most)
-    rows = checkpointed(docs.select(F.col(order_col).alias("id"), sketch.minhash(grams, num_perm).alias("sketch")))
+    rows = checkpointed(spread(docs.select(order_col, text_col)).select(F.col(order_col).alias("id"), sketch.minhash(grams, num_perm).alias("sketch")))
     edges = similarity.band_edges(rows, b, r).select("a", "b", F.lit(None).cast("double").alias("similarity"))
     return resolve(_bare(docs), edges, order_col)
 
 
 def simhash_text(docs: DataFrame, radius: int = 10, window: int = 1000, order_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicates by SimHash among the last `window` kept rows; window of 0 or less: among all, by a join."""
-    bits = checkpointed(docs.select(F.col(order_col).alias(order_col), sketch.simhash(text.normalize(F.coalesce(F.col(text_col), F.lit("")))).alias("bits")))
+    bits = checkpointed(spread(docs.select(order_col, text_col)).select(F.col(order_col).alias(order_col), sketch.simhash(text.normalize(F.coalesce(F.col(text_col), F.lit("")))).alias("bits")))
     if window > 0:
         return _joined(docs, fold.windowed(bits, fold.hamming_at_most(radius), "bits", order_col, window), order_col)
     edges = similarity.hamming_edges(bits, radius, order_col).withColumn("similarity", F.lit(1.0))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftspark.functions import classify, sketch, text, vectors
 from siftspark.operators import dedup, lookup, resolve, semdedup, similarity, stats
+from siftspark.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 EPS = [0.6, 0.65, 0.7, 0.75]
@@ -136,7 +137,7 @@ def text_normalize_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION SELECT doc_id, x FROM t WHERE length(x) IN (1, 2))
   SELECT doc_id, count(g.g) AS n_grams FROM t LEFT JOIN g USING (doc_id) GROUP BY doc_id""")
 def text_ngram_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", text.gram_count(text.normalize(F.col("text")), 3).alias("n_grams"))
 
 

@@ -25,3 +25,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="siftspark-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over as many tasks as run at once, if it has fewer: a small file with one row group would keep what is
+    costly for each row (Python, regular expressions) in one task. Tables of many files stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
