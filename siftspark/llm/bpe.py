@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftspark.llm.shared import fresh, small_batches, stored
+from siftspark.llm.shared import fresh, small_batches, spread, stored
 
 #: Longest unit that is encoded whole, in characters of the byte-level alphabet.
 LEAF = 2048
@@ -223,7 +223,7 @@ def encode(
     small_batches(spark)
     # chunks of ordinary text are under leaf / 4 characters, so half a text leaf holds enough of them for its joins
     text_leaf = max(text_leaf, 2 * leaf)
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in outputs])
+    docs = spread(docs.drop(*[c for c in docs.columns if c.lower() in outputs]))
     columns = docs.columns
     carried = [f for f in docs.schema if with_text or f.name != text_col]
     out_schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in carried), *(f"{c} {FIELDS[c]}" for c in outputs)])

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftspark.llm.shared import small_batches
+from siftspark.llm.shared import small_batches, spread
 
 #: Labelled documents that trees are fitted on, at most: the least by a hash of their id. Bounds what the driver gathers.
 SAMPLE = 20_000
@@ -165,4 +165,4 @@ def score(docs: DataFrame, forest: Forest, text_col: str = "text", threshold: fl
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series(forest.scores(np.stack([features(t) for t in texts]))) if len(texts) else pd.Series([], dtype=float)
 
-    return docs.withColumn("score", scored(F.col(text_col))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return spread(docs).withColumn("score", scored(F.col(text_col))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

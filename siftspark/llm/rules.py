@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftspark.llm.shared import fresh, small_batches, stored
+from siftspark.llm.shared import fresh, small_batches, spread, stored
 
 #: A line is boilerplate if it is found in more than this share of its host's distinct texts, and in more than so many.
 LINE_SHARE, LINE_LEAST = 0.1, 5
@@ -101,7 +101,7 @@ def _measured(docs: DataFrame, host_col: str, text_col: str, names: list[str]) -
     at = docs.columns.index(text_col)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != text_col)
     numbers = ", ".join(f"{n} long" for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
-    told = docs.mapInPandas(lambda x: _measure(x, at), f"{fields}{numbers}, text_key binary, lines array<long>, line_words array<long>")
+    told = spread(docs).mapInPandas(lambda x: _measure(x, at), f"{fields}{numbers}, text_key binary, lines array<long>, line_words array<long>")
     return stored(told.withColumn(names[0], host_of(host_col)), "lines")
 
 

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftspark.session import spread  # noqa: F401
+
 #: Words are runs of anything but the ASCII white space characters (a Java pattern).
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftspark.llm.shared import batch_rows, components, cut, fresh, small_batches, stored
+from siftspark.llm.shared import batch_rows, components, cut, fresh, small_batches, spread, stored
 
 RADIUS, SHINGLE, BITS = 4, 4, 64
 #: Fan-out of the index, and queries that are searched at once.
@@ -194,7 +194,7 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", fp_col: str = "fp
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.withColumn(fp_col, fp(F.col(text_col)))
+    return spread(docs).withColumn(fp_col, fp(F.col(text_col)))
 
 
 def _named(rows: DataFrame, id_col: str, fp_col: str, radius: int) -> DataFrame:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftspark.llm.shared import BATCH_ROWS, batch_rows, fresh, small_batches, stored
+from siftspark.llm.shared import BATCH_ROWS, batch_rows, fresh, small_batches, spread, stored
 
 LENGTH = 400
 #: Bytes that an anchor's hash covers.
@@ -430,7 +430,7 @@ def repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", len
     long_ones = keyed.where(F.octet_length(text_col) >= length).select(F.col(key).alias("k"), F.col(text_col).alias("text"), F.col(id_col).alias("i"))
     copies = stored(long_ones.groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("first")), "copies")
 
-    at = stored(long_ones.select("k", "text").mapInPandas(_places(length), "k binary, at long, h long, low int, high int"), "anchors")
+    at = stored(spread(long_ones.select("k", "text")).mapInPandas(_places(length), "k binary, at long, h long, low int, high int"), "anchors")
     # a hash is repeated if it stands at two places; the places of copies are the same, so no distinct is needed
     place = F.xxhash64("k", "at")
     groups = stored(at.groupBy("h").agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one < other").select("h"), "repeated")
