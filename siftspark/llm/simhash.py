@@ -5,11 +5,19 @@ as many buckets, one for each block's value. In a bucket fingerprints are sorted
 nodes, runs of nodes become upper nodes; a node keeps the bits that all below it share, less those its parent keeps.
 A search adds up the differences to the nodes' bits on its way down and leaves whole groups as soon as the sum exceeds
 the radius. A group whose free bits cannot exceed it is linked without a look inside.
+
+Near copies by shingle similarity (`keep_similar`) take the same index over fingerprints of 128 bits, whose differing
+bits follow the angle between shingle sets: at a Jaccard similarity s they are 128 acos(2s / (1 + s)) / pi on average.
+That is far more bits than blocks can be cut for, so buckets are masks: six seeded permutations of the bits, each cut into
+eight masks of 16. Pairs of at most 7 differing bits meet for certain, those of 20 with a chance of about 0.95.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from math import acos, ceil, pi
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -20,23 +28,31 @@ from pyspark.sql import functions as F
 from siftspark.llm.shared import batch_rows, components, cut, fresh, small_batches, spread, stored
 
 RADIUS, SHINGLE, BITS = 4, 4, 64
+#: Of near copies by shingle similarity: words of a shingle, similarity, bits, permutations of them, bits of a mask.
+WORDS, SIMILARITY, WIDE, PERMUTATIONS, MASK = 5, 0.8, 128, 6, 16
 #: Fan-out of the index, and queries that are searched at once.
 FAN, QUERIES = 8, 1 << 14
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _STEP = 1 << 15
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64 bits (unsigned): bit set if it is set in over half the hashes of the text's word shingles."""
+def _shingles(text: str | None, shingle: int) -> tuple[bytes, list[int], list[int]]:
+    """The words of a text joined by spaces, and where its shingles begin and stop in that."""
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
-        return 0
-    whole = b" ".join(words)
+        return b"", [], []
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(words) - shingle + 1)
-    stops = (ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]).tolist()
-    begins = starts[:n].tolist()
+    stops = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
+    return b" ".join(words), starts[: len(stops)].tolist(), stops.tolist()
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64 bits (unsigned): bit set if it is set in over half the hashes of the text's word shingles."""
+    whole, begins, stops = _shingles(text, shingle)
+    n = len(begins)
+    if not n:
+        return 0
     ones, digest = np.zeros(BITS, dtype=np.int64), xxhash.xxh64_intdigest
     for i in range(0, n, _STEP):
         h = np.array([digest(whole[a:b], 42) for a, b in zip(begins[i : i + _STEP], stops[i : i + _STEP], strict=True)], dtype=np.uint64)
@@ -44,6 +60,22 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def wide_fingerprint(text: str | None, shingle: int = WORDS) -> np.ndarray:
+    """128 bits in two words: bit set if it is set in over half the hashes of the text's different word shingles."""
+    whole, begins, stops = _shingles(text, shingle)
+    if not begins:
+        return np.zeros(2, np.uint64)
+    digest = xxhash.xxh3_128_digest
+    h = np.frombuffer(b"".join({digest(whole[a:b]) for a, b in zip(begins, stops, strict=True)}), np.uint8).reshape(-1, WIDE // 8)
+    ones = sum(np.unpackbits(h[i : i + _STEP], axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for i in range(0, len(h), _STEP))
+    return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)
+
+
+def radius_of(similarity: float, bits: int = WIDE) -> int:
+    """Bits in which texts of that Jaccard similarity differ on average, rounded up."""
+    return ceil(bits * acos(2 * similarity / (1 + similarity)) / pi)
+
+
 def gray_rank(codes: np.ndarray) -> np.ndarray:
     """Places in Gray order: the number whose Gray code each is."""
     rank = codes.copy()
@@ -52,12 +84,28 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
+def gray_ranks(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of codes of two words: Gray order runs backwards in the second one where the first has an odd number of bits."""
+    odd = (np.bitwise_count(codes[:, 0]) & 1).astype(bool)
+    second = gray_rank(codes[:, 1])
+    return gray_rank(codes[:, 0]), np.where(odd, ~second, second)
+
+
+def _count(codes: np.ndarray) -> np.ndarray:
+    """Set bits of each code, of one word or a row of words."""
+    bits = np.bitwise_count(codes)
+    return bits if bits.ndim == 1 else reduce(add, bits.T)
+
+
 def _under(child: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.bitwise_and.reduceat(child, starts), np.bitwise_or.reduceat(child, starts)
 
 
 class GrayIndex:
-    """Over many buckets at once: bucket (ascending), codes sorted by Gray rank within each. Nodes never span buckets."""
+    """Over many buckets at once: bucket (ascending), codes sorted by Gray rank within each. Nodes never span buckets.
+
+    A code is a number, or a row of numbers for more than 64 bits.
+    """
 
     def __init__(self, bucket: np.ndarray, codes: np.ndarray):
         self.codes = codes
@@ -76,11 +124,11 @@ class GrayIndex:
             if len(first) == len(groups):
                 break
         # a node's own bits are those its parent does not have
-        above = np.zeros(len(groups), np.uint64)
+        above = np.zeros((len(groups), *codes.shape[1:]), np.uint64)
         for level in reversed(self.levels):
             level["own"] = level["shared"] & ~above
-            level["free"] = BITS - np.bitwise_count(level["shared"]).astype(np.int64)
-            above = np.repeat(level["shared"], level["stops"] - level["starts"])
+            level["free"] = BITS * (codes.size // max(1, len(codes))) - _count(level["shared"]).astype(np.int64)
+            above = np.repeat(level["shared"], level["stops"] - level["starts"], axis=0)
         self.leaf_own = ~above
 
     def links(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -90,7 +138,7 @@ class GrayIndex:
             node, gone = self.roots_of[q], np.zeros(len(q), dtype=np.int64)
             for depth in range(len(self.levels) - 1, -1, -1):
                 level, code = self.levels[depth], self.codes[q]
-                gone = gone + np.bitwise_count((code ^ level["pattern"][node]) & level["own"][node])
+                gone = gone + _count((code ^ level["pattern"][node]) & level["own"][node])
                 near = gone <= radius
                 q, node, gone = q[near], node[near], gone[near]
                 sure = (gone + level["free"][node] <= radius) & (level["free"][node] <= radius)
@@ -104,7 +152,7 @@ class GrayIndex:
                 base = np.repeat(level["starts"][node] - np.concatenate([[0], np.cumsum(many)[:-1]]) if len(many) else many, many)
                 q, gone = np.repeat(q, many), np.repeat(gone, many)
                 node = base + np.arange(len(q))
-            gone = gone + np.bitwise_count((self.codes[q] ^ self.codes[node]) & self.leaf_own[node])
+            gone = gone + _count((self.codes[q] ^ self.codes[node]) & self.leaf_own[node])
             near = (gone <= radius) & (q != node)
             yield q[near], node[near]
 
@@ -136,19 +184,43 @@ def bucket_links(bucket: np.ndarray, codes: np.ndarray, radius: int = RADIUS) ->
     return label
 
 
-def _sets(radius: int) -> object:
-    """Edges of one task's buckets, taken in runs of whole buckets. Rows come sorted by bucket and Gray rank."""
-
+def _edges(radius: int) -> Callable[[np.ndarray, np.ndarray], pd.DataFrame]:
     def edges(bucket: np.ndarray, codes: np.ndarray) -> pd.DataFrame:
         root = bucket_links(bucket, codes, radius)
         own = np.flatnonzero(root != np.arange(len(root)))
         return pd.DataFrame({"a": codes[own].view(np.int64), "b": codes[root[own]].view(np.int64)})
 
+    return edges
+
+
+def _wide_edges(radius: int) -> Callable[[np.ndarray, np.ndarray], pd.DataFrame]:
+    def edges(bucket: np.ndarray, codes: np.ndarray) -> pd.DataFrame:
+        same = bucket[1:] == bucket[:-1]
+        shared = np.append(same, False) | np.append(False, same)
+        bucket, codes = bucket[shared], codes[shared]
+        order = np.lexsort((*gray_ranks(codes)[::-1], bucket))
+        bucket, codes = bucket[order], codes[order]
+        root = bucket_links(bucket, codes, radius)
+        own = np.flatnonzero(root != np.arange(len(root)))
+        a, b = codes[own].view(np.int64), codes[root[own]].view(np.int64)
+        return pd.DataFrame({"a0": a[:, 0], "a1": a[:, 1], "b0": b[:, 0], "b1": b[:, 1]})
+
+    return edges
+
+
+def _sets(edges: Callable[[np.ndarray, np.ndarray], pd.DataFrame], words: tuple[str, ...] = ("fp",)) -> object:
+    """Edges of one task's buckets, taken in runs of whole buckets. Rows come sorted by bucket (and Gray rank, if one word)."""
+
+    def codes_of(frame: pd.DataFrame) -> np.ndarray:
+        if len(words) == 1:
+            return frame[words[0]].to_numpy().view(np.uint64)
+        return np.stack([frame[w].to_numpy().view(np.uint64) for w in words], axis=1)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held_b, held_c, n = [], [], 0
         for frame in frames:
             held_b.append(frame["bucket"].to_numpy())
-            held_c.append(frame["fp"].to_numpy().view(np.uint64))
+            held_c.append(codes_of(frame))
             n += len(frame)
             if n >= 1 << 17:
                 bucket, codes = np.concatenate(held_b), np.concatenate(held_c)
@@ -183,7 +255,39 @@ def links(fingerprints: DataFrame, fp_col: str = "fp", radius: int = RADIUS) ->
     n_tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartition(n_tasks, "bucket").sortWithinPartitions("bucket", "rank").select("bucket", "fp")
     with batch_rows(spark, 1 << 16):
-        return stored(dealt.mapInPandas(_sets(radius), "a long, b long"), "links")
+        return stored(dealt.mapInPandas(_sets(_edges(radius)), "a long, b long"), "links")
+
+
+def masks() -> np.ndarray:
+    """Two words a mask: seeded permutations of the bits, each cut into masks."""
+    rng, out = np.random.default_rng(7), []
+    for _ in range(PERMUTATIONS):
+        for block in rng.permutation(WIDE).reshape(-1, MASK):
+            bits = np.zeros(WIDE, np.uint8)
+            bits[block] = 1
+            out.append(np.packbits(bits, bitorder="little").view(np.int64))
+    return np.array(out)
+
+
+def similar_links(fingerprints: DataFrame, fp_col: str = "fp", radius: int | None = None) -> DataFrame:
+    """Edges (a, b) between `node_of` distinct wide fingerprints that pairs within the radius in a bucket connect.
+
+    A bucket is a mask and what a fingerprint has under it, hashed; each gives a forest, not all its pairs.
+    """
+    spark, radius = fingerprints.sparkSession, radius_of(SIMILARITY) if radius is None else radius
+    under = [F.xxhash64(F.col("w0").bitwiseAND(F.lit(int(m0))), F.col("w1").bitwiseAND(F.lit(int(m1))), F.lit(i)) for i, (m0, m1) in enumerate(masks())]
+    rows = fingerprints.select(F.col(fp_col)["w0"].alias("w0"), F.col(fp_col)["w1"].alias("w1")).distinct()
+    rows = rows.select(F.explode(F.array(*under)).alias("bucket"), "w0", "w1")
+    n_tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartition(n_tasks, "bucket").sortWithinPartitions("bucket")
+    with batch_rows(spark, 1 << 16):
+        pairs = stored(dealt.mapInPandas(_sets(_wide_edges(radius), ("w0", "w1")), "a0 long, a1 long, b0 long, b1 long"), "similar-links")
+    return pairs.select(F.xxhash64("a0", "a1").alias("a"), F.xxhash64("b0", "b1").alias("b")).distinct()
+
+
+def node_of(fp_col: str) -> F.Column:
+    """A wide fingerprint as one number, for joins; two share one by a chance of 2^-64."""
+    return F.xxhash64(F.col(fp_col)["w0"], F.col(fp_col)["w1"])
 
 
 def with_fingerprints(docs: DataFrame, text_col: str = "text", fp_col: str = "fp", shingle: int = SHINGLE) -> DataFrame:
@@ -197,10 +301,21 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", fp_col: str = "fp
     return spread(docs).withColumn(fp_col, fp(F.col(text_col)))
 
 
-def _named(rows: DataFrame, id_col: str, fp_col: str, radius: int) -> DataFrame:
+def with_wide_fingerprints(docs: DataFrame, text_col: str = "text", fp_col: str = "fp", shingle: int = WORDS) -> DataFrame:
+    """docs with fp (a struct of w0 and w1, long); a column so called gives way. Null and empty texts have zeros."""
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("w0 long, w1 long")
+    def fp(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(np.array([wide_fingerprint(t, shingle) for t in texts], dtype=np.uint64).reshape(-1, 2).view(np.int64), columns=["w0", "w1"])
+
+    return spread(docs).withColumn(fp_col, fp(F.col(text_col)))
+
+
+def _named(rows: DataFrame, id_col: str, fp_col: str, edges: DataFrame) -> DataFrame:
     """node (a distinct fingerprint), least (its least id), component (the least fingerprint reachable)."""
     distinct = rows.groupBy(F.col(fp_col).alias("node")).agg(F.min(id_col).alias("least"))
-    tied = components(links(rows, fp_col, radius))
+    tied = components(edges)
     return distinct.join(tied, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
@@ -212,15 +327,28 @@ def classes(rows: DataFrame, id_col: str = "doc_id", fp_col: str = "fp", radius:
     """
     rows = rows.drop(*[c for c in rows.columns if c.lower() == "component_id"])
     (node,) = fresh(rows, "node")
-    named = _named(rows, id_col, fp_col, radius)
+    named = _named(rows, id_col, fp_col, links(rows, fp_col, radius))
     firsts = named.groupBy("component").agg(F.min("least").alias("component_id"))
     known = cut(named.join(firsts, "component").select(F.col("node").alias(node), "component_id"))
     return rows.join(known, rows[fp_col] == known[node], "left").drop(node)
 
 
-def keep_one(rows: DataFrame, id_col: str = "doc_id", fp_col: str = "fp", radius: int = RADIUS) -> DataFrame:
-    """One row of each component: that with the least id, null ids last; of rows that share id and fingerprint any one."""
+def _one(rows: DataFrame, id_col: str, fp_col: str, edges: DataFrame) -> DataFrame:
     first, node = fresh(rows, "first_id", "node")
-    chosen = _named(rows, id_col, fp_col, radius).groupBy("component").agg(F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("c"))
+    chosen = _named(rows, id_col, fp_col, edges).groupBy("component").agg(F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("c"))
     chosen = chosen.select(F.col("c.least").alias(first), F.col("c.node").alias(node))
     return rows.join(chosen, (rows[fp_col] == chosen[node]) & rows[id_col].eqNullSafe(chosen[first]), "left_semi").dropDuplicates([fp_col, id_col])
+
+
+def keep_one(rows: DataFrame, id_col: str = "doc_id", fp_col: str = "fp", radius: int = RADIUS) -> DataFrame:
+    """One row of each component: that with the least id, null ids last; of rows that share id and fingerprint any one."""
+    return _one(rows, id_col, fp_col, links(rows, fp_col, radius))
+
+
+def keep_similar(rows: DataFrame, id_col: str = "doc_id", fp_col: str = "fp", radius: int | None = None) -> DataFrame:
+    """As keep_one, of what near copies by shingle similarity connect; rows (stored ones) are `with_wide_fingerprints`.
+
+    The radius is that of SIMILARITY unless given. The fingerprint column becomes one number.
+    """
+    edges = similar_links(rows, fp_col, radius)
+    return _one(rows.withColumn(fp_col, node_of(fp_col)), id_col, fp_col, edges)

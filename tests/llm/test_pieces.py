@@ -65,6 +65,53 @@ def test_fingerprint(text):
     assert simhash.fingerprint(text) == brute_fingerprint(text or "")
 
 
+def brute_groups(prints, radius=20):
+    """Every pair of wide fingerprints that agrees under a mask, by single bits."""
+    ids = list(prints)
+    bits = np.array([np.unpackbits(prints[i].view(np.uint8), bitorder="little") for i in ids]).reshape(len(ids), 128).astype(bool)
+    under = np.array([np.unpackbits(m.view(np.uint8), bitorder="little") for m in simhash.masks()]).astype(bool)
+    group = dict(zip(ids, ids))
+    for i in range(len(ids)):
+        apart = bits[i] ^ bits[:i]
+        for j in np.flatnonzero((apart.sum(1) <= radius) & ~(apart[:, None, :] & under[None]).any(2).all(1)):
+            a, b = group[ids[i]], group[ids[j]]
+            if a != b:
+                group = {k: b if g == a else g for k, g in group.items()}
+    return group
+
+
+def test_wide_links_and_similarity(spark):
+    masks = np.array([np.unpackbits(m.view(np.uint8)) for m in simhash.masks()])
+    assert masks.shape == (48, 128) and (masks.sum(1) == 16).all() and all((masks[i : i + 8].sum(0) == 1).all() for i in range(0, 48, 8))
+    assert simhash.radius_of(1) == 0 and simhash.radius_of(0.8) == 20 and simhash.radius_of(0, 64) == 32
+    rng, codes = np.random.default_rng(8), []
+    for _ in range(12):
+        first = rng.integers(0, 2, 128)
+        for spread in (0, 0, 1, 5, 7, 12, 20, 30):
+            other = first.copy()
+            other[rng.choice(128, spread, replace=False)] ^= 1
+            codes.append(np.packbits(other.astype(np.uint8), bitorder="little").view(np.uint64))
+    prints = dict(enumerate(codes))
+    rows = [(i, (int(c.view(np.int64)[0]), int(c.view(np.int64)[1]))) for i, c in prints.items()]
+    df = spark.createDataFrame(rows, "doc_id long, fp struct<w0: long, w1: long>")
+    group = brute_groups(prints)
+    want = sorted({min(i for i in prints if group[i] == g) for g in set(group.values())})
+    assert sorted(r["doc_id"] for r in simhash.keep_similar(df).collect()) == want
+    assert len({group[i] for i in range(5)}) == 1 and simhash.keep_similar(df.limit(0)).count() == 0
+    # texts: six words of 600 changed are a near copy, half of the words is not
+    words = [f"w{i}" for i in rng.integers(0, 10**6, 600)]
+    near, far = list(words), list(words)
+    near[300:306] = ["x"] * 6
+    far[:300] = [f"y{i}" for i in range(300)]
+    a, b, c = (simhash.wide_fingerprint(" ".join(w)) for w in (words, near, far))
+    assert np.bitwise_count(a ^ b).sum() <= 20 < np.bitwise_count(a ^ c).sum()
+    for text in (None, "", " \n "):
+        assert not simhash.wide_fingerprint(text).any()
+    assert (simhash.wide_fingerprint("A b\tC") == simhash.wide_fingerprint("a B c")).all() and (simhash.wide_fingerprint("a b c d e " * 2) != simhash.wide_fingerprint("a b c d")).any()
+    repeated = simhash.wide_fingerprint("a b c d e " * 50)  # repeats of a shingle count once
+    assert (repeated == simhash.wide_fingerprint("a b c d e " * 3)).all()
+
+
 @pytest.mark.parametrize("shape", ["random", "ball", "far"])
 def test_gray_index_finds_every_link(shape):
     rng = np.random.default_rng(4)
