@@ -8,15 +8,17 @@ the radius. A group whose free bits cannot exceed it is linked without a look in
 
 Near copies by shingle similarity (`keep_similar`) take the same index over fingerprints of 128 bits, whose differing
 bits follow the angle between shingle sets: at a Jaccard similarity s they are 128 acos(2s / (1 + s)) / pi on average.
-That is far more bits than blocks can be cut for, so buckets are masks: six seeded permutations of the bits, each cut into
-eight masks of 16. Pairs of at most 7 differing bits meet for certain, those of 20 with a chance of about 0.95.
+That is far more bits than blocks can be cut for, so buckets are masks: twelve seeded permutations of the bits, each cut into
+eight masks of 16. Pairs of at most 7 differing bits meet for certain, those of 20 with a chance of over 0.99, of 26 of 0.86.
+The index only proposes: each bucket gives a forest, nearest pairs first, and links of it count if the shingle sets
+themselves, compared exactly, are similar enough.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
-from math import acos, ceil, pi
+from math import acos, ceil, pi, sqrt
 from operator import add
 
 import numpy as np
@@ -29,7 +31,9 @@ from siftspark.llm.shared import batch_rows, components, cut, fresh, small_batch
 
 RADIUS, SHINGLE, BITS = 4, 4, 64
 #: Of near copies by shingle similarity: words of a shingle, similarity, bits, permutations of them, bits of a mask.
-WORDS, SIMILARITY, WIDE, PERMUTATIONS, MASK = 5, 0.8, 128, 6, 16
+WORDS, SIMILARITY, WIDE, PERMUTATIONS, MASK = 5, 0.8, 128, 12, 16
+#: Pairs up to three standard deviations over the mean at SIMILARITY are proposed; forests grow in so many steps of the radius.
+SPREADS, STEPS = 3.0, 5
 #: Fan-out of the index, and queries that are searched at once.
 FAN, QUERIES = 8, 1 << 14
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -71,9 +75,10 @@ def wide_fingerprint(text: str | None, shingle: int = WORDS) -> np.ndarray:
     return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)
 
 
-def radius_of(similarity: float, bits: int = WIDE) -> int:
-    """Bits in which texts of that Jaccard similarity differ on average, rounded up."""
-    return ceil(bits * acos(2 * similarity / (1 + similarity)) / pi)
+def radius_of(similarity: float, bits: int = WIDE, spreads: float = 0.0) -> int:
+    """Bits in which texts of that Jaccard similarity differ on average, and so many standard deviations more, rounded up."""
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    return ceil(bits * p + spreads * sqrt(bits * p * (1 - p)))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -157,8 +162,9 @@ class GrayIndex:
             yield q[near], node[near]
 
 
-def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Joins the sets of a and b; label[i] is a member of i's set, in the end its root."""
+def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Joins the sets of a and b; label[i] is a member of i's set, in the end its root. Gives the pairs that joined two sets."""
+    made = []
     while len(a):
         ra, rb = label[a], label[b]
         while (label[ra] != ra).any():
@@ -167,7 +173,12 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             rb = label[rb]
         apart = ra != rb
         a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-        np.minimum.at(label, np.maximum(ra, rb), np.minimum(ra, rb))
+        high, low = np.maximum(ra, rb), np.minimum(ra, rb)
+        np.minimum.at(label, high, low)
+        won = np.flatnonzero(label[high] == low)
+        won = won[np.unique(high[won], return_index=True)[1]]
+        made.append((a[won], b[won]))
+    return made
 
 
 def bucket_links(bucket: np.ndarray, codes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -184,6 +195,21 @@ def bucket_links(bucket: np.ndarray, codes: np.ndarray, radius: int = RADIUS) ->
     return label
 
 
+def bucket_forest(bucket: np.ndarray, codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places within the radius in one bucket that connect all such pairs, at most one a code. Sorted input.
+
+    The radius grows in steps, so that the forest holds near pairs before far ones.
+    """
+    made = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    if len(codes) > 1:
+        index, label = GrayIndex(bucket, codes), np.arange(len(codes))
+        ask = np.flatnonzero(np.bincount(index.roots_of)[index.roots_of] > 1)
+        for step in sorted({ceil(radius * k / STEPS) for k in range(1, STEPS + 1)}):
+            for a, b in index.links(ask, step):
+                made += _merge(label, a, b)
+    return np.concatenate([a for a, _ in made]), np.concatenate([b for _, b in made])
+
+
 def _edges(radius: int) -> Callable[[np.ndarray, np.ndarray], pd.DataFrame]:
     def edges(bucket: np.ndarray, codes: np.ndarray) -> pd.DataFrame:
         root = bucket_links(bucket, codes, radius)
@@ -200,9 +226,8 @@ def _wide_edges(radius: int) -> Callable[[np.ndarray, np.ndarray], pd.DataFrame]
         bucket, codes = bucket[shared], codes[shared]
         order = np.lexsort((*gray_ranks(codes)[::-1], bucket))
         bucket, codes = bucket[order], codes[order]
-        root = bucket_links(bucket, codes, radius)
-        own = np.flatnonzero(root != np.arange(len(root)))
-        a, b = codes[own].view(np.int64), codes[root[own]].view(np.int64)
+        one, other = bucket_forest(bucket, codes, radius)
+        a, b = codes[one].view(np.int64), codes[other].view(np.int64)
         return pd.DataFrame({"a0": a[:, 0], "a1": a[:, 1], "b0": b[:, 0], "b1": b[:, 1]})
 
     return edges
@@ -270,11 +295,11 @@ def masks() -> np.ndarray:
 
 
 def similar_links(fingerprints: DataFrame, fp_col: str = "fp", radius: int | None = None) -> DataFrame:
-    """Edges (a, b) between `node_of` distinct wide fingerprints that pairs within the radius in a bucket connect.
+    """Edges (a < b) between `node_of` distinct wide fingerprints that pairs within the radius in a bucket connect.
 
     A bucket is a mask and what a fingerprint has under it, hashed; each gives a forest, not all its pairs.
     """
-    spark, radius = fingerprints.sparkSession, radius_of(SIMILARITY) if radius is None else radius
+    spark, radius = fingerprints.sparkSession, radius_of(SIMILARITY, spreads=SPREADS) if radius is None else radius
     under = [F.xxhash64(F.col("w0").bitwiseAND(F.lit(int(m0))), F.col("w1").bitwiseAND(F.lit(int(m1))), F.lit(i)) for i, (m0, m1) in enumerate(masks())]
     rows = fingerprints.select(F.col(fp_col)["w0"].alias("w0"), F.col(fp_col)["w1"].alias("w1")).distinct()
     rows = rows.select(F.explode(F.array(*under)).alias("bucket"), "w0", "w1")
@@ -282,7 +307,35 @@ def similar_links(fingerprints: DataFrame, fp_col: str = "fp", radius: int | Non
     dealt = rows.repartition(n_tasks, "bucket").sortWithinPartitions("bucket")
     with batch_rows(spark, 1 << 16):
         pairs = stored(dealt.mapInPandas(_sets(_wide_edges(radius), ("w0", "w1")), "a0 long, a1 long, b0 long, b1 long"), "similar-links")
-    return pairs.select(F.xxhash64("a0", "a1").alias("a"), F.xxhash64("b0", "b1").alias("b")).distinct()
+    a, b = F.xxhash64("a0", "a1"), F.xxhash64("b0", "b1")
+    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def verified(edges: DataFrame, rows: DataFrame, id_col: str, text_col: str, node_col: str, similarity: float = SIMILARITY, shingle: int = WORDS) -> DataFrame:
+    """Those edges (a, b) whose texts' sets of shingles have that Jaccard similarity, exactly (shingles by 64-bit hash).
+
+    A node's text is that of its least row (null ids last). Only texts of nodes with edges are read into sets.
+    """
+
+    @F.pandas_udf("array<long>")
+    def hashes(texts: pd.Series) -> pd.Series:
+        digest = xxhash.xxh3_64_intdigest
+
+        def of(text: str | None) -> np.ndarray:
+            whole, begins, stops = _shingles(text, shingle)
+            return np.array(list({digest(whole[a:b]) for a, b in zip(begins, stops, strict=True)}), np.uint64).view(np.int64)
+
+        return texts.map(of)
+
+    small_batches(rows.sparkSession)
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    least = F.min_by(F.coalesce("text", F.lit("")), F.struct(F.col("id").isNull(), F.col("id"), F.xxhash64("text")))
+    own = rows.select(F.col(node_col).alias("node"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = own.join(nodes, "node", "left_semi").groupBy("node").agg(least.alias("text"))
+    sets = stored(texts.select("node", hashes("text").alias("shingles")), "shingles")
+    pairs = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    both, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    return cut(pairs.where(both >= similarity * (total - both) - 1e-9).select("a", "b"))
 
 
 def node_of(fp_col: str) -> F.Column:
@@ -345,10 +398,11 @@ def keep_one(rows: DataFrame, id_col: str = "doc_id", fp_col: str = "fp", radius
     return _one(rows, id_col, fp_col, links(rows, fp_col, radius))
 
 
-def keep_similar(rows: DataFrame, id_col: str = "doc_id", fp_col: str = "fp", radius: int | None = None) -> DataFrame:
+def keep_similar(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", fp_col: str = "fp", similarity: float = SIMILARITY) -> DataFrame:
     """As keep_one, of what near copies by shingle similarity connect; rows (stored ones) are `with_wide_fingerprints`.
 
-    The radius is that of SIMILARITY unless given. The fingerprint column becomes one number.
+    Rows of equal fingerprints are one node, and empty and null texts are one. The fingerprint column becomes one number.
     """
-    edges = similar_links(rows, fp_col, radius)
-    return _one(rows.withColumn(fp_col, node_of(fp_col)), id_col, fp_col, edges)
+    edges = similar_links(rows, fp_col, radius_of(similarity, spreads=SPREADS))
+    rows = rows.withColumn(fp_col, node_of(fp_col))
+    return _one(rows, id_col, fp_col, verified(edges, rows, id_col, text_col, fp_col, similarity))

@@ -80,10 +80,39 @@ def brute_groups(prints, radius=20):
     return group
 
 
+def shingle_sets(texts):
+    words = {i: (t or "").encode().lower().split() for i, t in texts.items()}
+    return {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+
+
+def test_near_copies_are_told_by_their_shingles(spark):
+    """Chains, copies and pairs on both sides of 0.8: none under it goes, all over it do (this table is small enough for the index to propose all)."""
+    rng, texts = random.Random(3), {}
+    for g in range(40):
+        base = [f"w{g}x{rng.randrange(500)}" for _ in range(rng.choice([40, 200, 900]))]
+        for changes in (0, 0, 0.004, 0.01, 0.03, 0.06, 0.3):
+            other = list(base)
+            for at in rng.sample(range(len(base)), int(changes * len(base))):
+                other[at] = f"n{rng.randrange(10**6)}"
+            texts[len(texts)] = " ".join(other)
+    texts |= {len(texts): None, len(texts) + 1: "", len(texts) + 2: " ", len(texts) + 3: "a b", len(texts) + 4: "A b"}
+    sets, group = shingle_sets(texts), {i: i for i in texts}
+    for i in texts:
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = {k: b if g == a else g for k, g in group.items()}
+    want = {min(i for i in texts if group[i] == g) for g in set(group.values())}
+    docs = spark.createDataFrame([(i, t, 1) for i, t in texts.items()], "doc_id long, text string, node int")
+    got = {r["doc_id"] for r in simhash.keep_similar(simhash.with_wide_fingerprints(docs)).collect()}
+    assert not want - got and len(got - want) <= 2, (want - got, got - want)
+    assert simhash.keep_similar(simhash.with_wide_fingerprints(docs.limit(0))).count() == 0
+
+
 def test_wide_links_and_similarity(spark):
     masks = np.array([np.unpackbits(m.view(np.uint8)) for m in simhash.masks()])
-    assert masks.shape == (48, 128) and (masks.sum(1) == 16).all() and all((masks[i : i + 8].sum(0) == 1).all() for i in range(0, 48, 8))
-    assert simhash.radius_of(1) == 0 and simhash.radius_of(0.8) == 20 and simhash.radius_of(0, 64) == 32
+    assert masks.shape == (96, 128) and (masks.sum(1) == 16).all() and all((masks[i : i + 8].sum(0) == 1).all() for i in range(0, 96, 8))
+    assert simhash.radius_of(1) == 0 and simhash.radius_of(0.8) == 20 and simhash.radius_of(0, 64) == 32 and simhash.radius_of(0.8, spreads=3) == 32
     rng, codes = np.random.default_rng(8), []
     for _ in range(12):
         first = rng.integers(0, 2, 128)
@@ -95,9 +124,15 @@ def test_wide_links_and_similarity(spark):
     rows = [(i, (int(c.view(np.int64)[0]), int(c.view(np.int64)[1]))) for i, c in prints.items()]
     df = spark.createDataFrame(rows, "doc_id long, fp struct<w0: long, w1: long>")
     group = brute_groups(prints)
-    want = sorted({min(i for i in prints if group[i] == g) for g in set(group.values())})
-    assert sorted(r["doc_id"] for r in simhash.keep_similar(df).collect()) == want
-    assert len({group[i] for i in range(5)}) == 1 and simhash.keep_similar(df.limit(0)).count() == 0
+    node = {r["doc_id"]: r["node"] for r in df.select("doc_id", simhash.node_of("fp").alias("node")).collect()}
+    edges = simhash.similar_links(df, radius=20).collect()
+    tied = {n: n for n in node.values()}
+    for e in edges:
+        a, b = tied[e["a"]], tied[e["b"]]
+        tied = {k: b if g == a else g for k, g in tied.items()}
+    assert all((tied[node[i]] == tied[node[j]]) == (group[i] == group[j]) for i in prints for j in prints)
+    assert all(e["a"] < e["b"] for e in edges) and len({group[i] for i in range(5)}) == 1
+    assert simhash.similar_links(df.limit(0)).count() == 0
     # texts: six words of 600 changed are a near copy, half of the words is not
     words = [f"w{i}" for i in rng.integers(0, 10**6, 600)]
     near, far = list(words), list(words)

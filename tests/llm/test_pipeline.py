@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from siftspark.llm import bpe, secrets, simhash
+from siftspark.llm import bpe, secrets
 from siftspark.llm.queries import oracle_sql, queries, word_bpe_path
-from tests.llm.test_pieces import brute_groups
+from tests.llm.test_pieces import shingle_sets
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,9 +28,13 @@ def test_stages(spark, stages):
     good, single, hidden, mixed, tokens = stages
     assert len(pipeline.STAGES) == 5 and all(list(x.columns) == list(pipeline.COLUMNS) for x in stages[:4])
     assert 0 < len(good) < len(first)
-    prints = {i: simhash.wide_fingerprint(t) for i, t in zip(good["doc_id"], good["text"])}
-    group = brute_groups(prints)
-    assert sorted(single["doc_id"]) == sorted({min(i for i in prints if group[i] == g) for g in set(group.values())})
+    sets = shingle_sets(dict(zip(good["doc_id"], good["text"])))
+    group = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if i < j and group[i] != group[j] and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                group = {k: group[i] if g == group[j] else g for k, g in group.items()}
+    assert sorted(single["doc_id"]) == sorted({min(i for i in sets if group[i] == g) for g in set(group.values())})
     assert sorted(hidden["doc_id"]) == sorted(single["doc_id"])
     was = dict(zip(single["doc_id"], single["text"]))
     for i, t, n in zip(hidden["doc_id"], hidden["text"], hidden["n_chars"]):
