@@ -11,7 +11,9 @@ bits follow the angle between shingle sets: at a Jaccard similarity s they are 1
 That is far more bits than blocks can be cut for, so buckets are masks: twelve seeded permutations of the bits, each cut into
 eight masks of 16. Pairs of at most 7 differing bits meet for certain, those of 20 with a chance of over 0.99, of 26 of 0.86.
 The index only proposes: each bucket gives a forest, nearest pairs first, and links of it count if the shingle sets
-themselves, compared exactly, are similar enough.
+themselves, compared exactly, are similar enough. What the index and its forests leave out follows exactly (`unproposed`):
+sets of similarity s share a shingle among the first n - ceil(s n) + 1 of their n shingles in any one order, so texts that
+do are paired if no link connects them yet, and their sets are compared too. Components are those of all pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from operator import add
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftspark.llm.shared import batch_rows, components, cut, fresh, small_batches, spread, stored
@@ -34,6 +36,9 @@ RADIUS, SHINGLE, BITS = 4, 4, 64
 WORDS, SIMILARITY, WIDE, PERMUTATIONS, MASK = 5, 0.8, 128, 12, 16
 #: Pairs up to three standard deviations over the mean at SIMILARITY are proposed; forests grow in so many steps of the radius.
 SPREADS, STEPS = 3.0, 5
+#: Of the exact pairs: bits of a set's parity code at most, every so many-th set (of so many in all) that is counted for the order,
+#: shingles that the order puts last, and pairs that are made at a time. None of them bears on the result.
+PARITY, SAMPLED, SAMPLE, FREQUENT, PAIRS = 1 << 15, 16, 1 << 15, 100_000, 1 << 20
 #: Fan-out of the index, and queries that are searched at once.
 FAN, QUERIES = 8, 1 << 14
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -64,17 +69,67 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def wide_fingerprint(text: str | None, shingle: int = WORDS) -> np.ndarray:
-    """128 bits in two words: bit set if it is set in over half the hashes of the text's different word shingles."""
+def _digests(text: str | None, shingle: int) -> np.ndarray:
+    """128-bit hashes of the text's different word shingles, as rows of bytes."""
     whole, begins, stops = _shingles(text, shingle)
-    if not begins:
-        return np.zeros(2, np.uint64)
     digest = xxhash.xxh3_128_digest
-    h = np.frombuffer(b"".join({digest(whole[a:b]) for a, b in zip(begins, stops, strict=True)}), np.uint8).reshape(-1, WIDE // 8)
+    return np.frombuffer(b"".join({digest(whole[a:b]) for a, b in zip(begins, stops, strict=True)}), np.uint8).reshape(-1, WIDE // 8)
+
+
+def _majority(h: np.ndarray) -> np.ndarray:
+    if not len(h):
+        return np.zeros(2, np.uint64)
     ones = sum(np.unpackbits(h[i : i + _STEP], axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for i in range(0, len(h), _STEP))
     return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)
 
 
+def wide_fingerprint(text: str | None, shingle: int = WORDS) -> np.ndarray:
+    """128 bits in two words: bit set if it is set in over half the hashes of the text's different word shingles."""
+    return _majority(_digests(text, shingle))
+
+
+def shingle_hashes(text: str | None, shingle: int = WORDS) -> np.ndarray:
+    """64-bit hashes of the text's different word shingles, ascending."""
+    whole, begins, stops = _shingles(text, shingle)
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.fromiter((digest(whole[a:b]) for a, b in zip(begins, stops, strict=True)), np.uint64, len(begins)))
+
+
+def parity_code(hashes: np.ndarray) -> bytes:
+    """Bit i is set if an odd number of the hashes end in i. Codes differ in at most as many bits as sets in members.
+
+    As many bits as there are hashes, up to a power of two and at most PARITY; the halves of a code, combined, are the shorter one.
+    """
+    bits = min(PARITY, max(64, 1 << (len(hashes) - 1).bit_length())) if len(hashes) else 64
+    return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def codes_apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Bits in which parity codes differ, the longer of two cut down to the shorter."""
+    out, sizes = np.zeros(len(x), np.int64), np.array([(len(a), len(b)) for a, b in zip(x, y, strict=True)]).reshape(-1, 2)
+    for both in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes == both).all(axis=1))
+        one, other = (np.frombuffer(b"".join(side[i] for i in at), np.uint64).reshape(len(at), -1) for side in (x, y))
+        while one.shape[1] != other.shape[1]:
+            one, other = (one, other) if one.shape[1] > other.shape[1] else (other, one)
+            half = one.shape[1] // 2
+            one = one[:, :half] ^ one[:, half:]
+        out[at] = np.bitwise_count(one ^ other).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def prefix(hashes: np.ndarray, late: np.ndarray, rank: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The hashes of a set (ascending) that every set of that similarity or more shares one with, among its own.
+
+    The order is by rank, which is that of `late` (ascending) or 0, then by hash.
+    """
+    n = len(hashes)
+    if n and len(late):
+        at = np.minimum(np.searchsorted(late, hashes), len(late) - 1)
+        hashes = hashes[np.argsort(np.where(late[at] == hashes, rank[at], 0), kind="stable")]
+    return hashes[: n - ceil(similarity * n - 1e-6) + 1]
+
+
 def radius_of(similarity: float, bits: int = WIDE, spreads: float = 0.0) -> int:
     """Bits in which texts of that Jaccard similarity differ on average, and so many standard deviations more, rounded up."""
     p = acos(2 * similarity / (1 + similarity)) / pi
@@ -210,17 +265,17 @@ def bucket_forest(bucket: np.ndarray, codes: np.ndarray, radius: int) -> tuple[n
     return np.concatenate([a for a, _ in made]), np.concatenate([b for _, b in made])
 
 
-def _edges(radius: int) -> Callable[[np.ndarray, np.ndarray], pd.DataFrame]:
-    def edges(bucket: np.ndarray, codes: np.ndarray) -> pd.DataFrame:
+def _edges(radius: int) -> Callable[[np.ndarray, np.ndarray], Iterator[pd.DataFrame]]:
+    def edges(bucket: np.ndarray, codes: np.ndarray) -> Iterator[pd.DataFrame]:
         root = bucket_links(bucket, codes, radius)
         own = np.flatnonzero(root != np.arange(len(root)))
-        return pd.DataFrame({"a": codes[own].view(np.int64), "b": codes[root[own]].view(np.int64)})
+        yield pd.DataFrame({"a": codes[own].view(np.int64), "b": codes[root[own]].view(np.int64)})
 
     return edges
 
 
-def _wide_edges(radius: int) -> Callable[[np.ndarray, np.ndarray], pd.DataFrame]:
-    def edges(bucket: np.ndarray, codes: np.ndarray) -> pd.DataFrame:
+def _wide_edges(radius: int) -> Callable[[np.ndarray, np.ndarray], Iterator[pd.DataFrame]]:
+    def edges(bucket: np.ndarray, codes: np.ndarray) -> Iterator[pd.DataFrame]:
         same = bucket[1:] == bucket[:-1]
         shared = np.append(same, False) | np.append(False, same)
         bucket, codes = bucket[shared], codes[shared]
@@ -228,12 +283,38 @@ def _wide_edges(radius: int) -> Callable[[np.ndarray, np.ndarray], pd.DataFrame]
         bucket, codes = bucket[order], codes[order]
         one, other = bucket_forest(bucket, codes, radius)
         a, b = codes[one].view(np.int64), codes[other].view(np.int64)
-        return pd.DataFrame({"a0": a[:, 0], "a1": a[:, 1], "b0": b[:, 0], "b1": b[:, 1]})
+        yield pd.DataFrame({"a0": a[:, 0], "a1": a[:, 1], "b0": b[:, 0], "b1": b[:, 1]})
 
     return edges
 
 
-def _sets(edges: Callable[[np.ndarray, np.ndarray], pd.DataFrame], words: tuple[str, ...] = ("fp",)) -> object:
+def _across(similarity: float) -> Callable[[np.ndarray, np.ndarray], Iterator[pd.DataFrame]]:
+    """Pairs of nodes of one bucket whose components differ and whose sizes allow the similarity; some come repeatedly."""
+
+    def pairs(bucket: np.ndarray, codes: np.ndarray) -> Iterator[pd.DataFrame]:
+        codes = codes[order := np.lexsort((codes[:, 1], bucket))]
+        bucket, (node, component, size) = bucket[order], codes.view(np.int64).T
+        new = np.append(True, bucket[1:] != bucket[:-1])
+        other = new | np.append(True, component[1:] != component[:-1])
+        # a row meets the rows of its bucket that come after its component
+        stop, after = (np.append(np.flatnonzero(first)[1:], len(node))[np.cumsum(first) - 1] for first in (new, other))
+        many = stop - after
+        total, i = np.cumsum(many), 0
+        while i < len(node):
+            j = max(i + 1, int(np.searchsorted(total, total[i] - many[i] + PAIRS, side="right")))
+            m = many[i:j]
+            one = np.repeat(np.arange(i, j), m)
+            two = np.arange(len(one)) + np.repeat(after[i:j] - (np.cumsum(m) - m), m)
+            near = np.minimum(size[one], size[two]) >= similarity * np.maximum(size[one], size[two]) - 1e-6
+            x, y = node[one[near]], node[two[near]]
+            if len(x):
+                yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
+            i = j
+
+    return pairs
+
+
+def _sets(edges: Callable[[np.ndarray, np.ndarray], Iterator[pd.DataFrame]], words: tuple[str, ...] = ("fp",)) -> object:
     """Edges of one task's buckets, taken in runs of whole buckets. Rows come sorted by bucket (and Gray rank, if one word)."""
 
     def codes_of(frame: pd.DataFrame) -> np.ndarray:
@@ -251,10 +332,10 @@ def _sets(edges: Callable[[np.ndarray, np.ndarray], pd.DataFrame], words: tuple[
                 bucket, codes = np.concatenate(held_b), np.concatenate(held_c)
                 stop = int(np.searchsorted(bucket, bucket[-1], side="left"))
                 if stop:
-                    yield edges(bucket[:stop], codes[:stop])
+                    yield from edges(bucket[:stop], codes[:stop])
                 held_b, held_c, n = [bucket[stop:]], [codes[stop:]], 0
         if held_b:
-            yield edges(np.concatenate(held_b), np.concatenate(held_c))
+            yield from edges(np.concatenate(held_b), np.concatenate(held_c))
 
     return run
 
@@ -319,13 +400,7 @@ def verified(edges: DataFrame, rows: DataFrame, id_col: str, text_col: str, node
 
     @F.pandas_udf("array<long>")
     def hashes(texts: pd.Series) -> pd.Series:
-        digest = xxhash.xxh3_64_intdigest
-
-        def of(text: str | None) -> np.ndarray:
-            whole, begins, stops = _shingles(text, shingle)
-            return np.array(list({digest(whole[a:b]) for a, b in zip(begins, stops, strict=True)}), np.uint64).view(np.int64)
-
-        return texts.map(of)
+        return texts.map(lambda text: shingle_hashes(text, shingle).view(np.int64))
 
     small_batches(rows.sparkSession)
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -338,6 +413,64 @@ def verified(edges: DataFrame, rows: DataFrame, id_col: str, text_col: str, node
     return cut(pairs.where(both >= similarity * (total - both) - 1e-9).select("a", "b"))
 
 
+def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that many sets hold, ascending, and in how many of a sample of the sets. texts: node, text."""
+
+    def hashes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"hash": np.concatenate([np.zeros(0, np.uint64), *(shingle_hashes(t, shingle) for t in frame["text"])]).view(np.int64)})
+
+    every = max(SAMPLED, texts.count() // SAMPLE)
+    some = texts.where(F.pmod("node", F.lit(every)) == 0).dropDuplicates(["node"]).select("text")
+    found = some.mapInPandas(hashes, "hash long").groupBy("hash").count().where("count > 1").orderBy(F.desc("count"), "hash").limit(FREQUENT).collect()
+    late, rank = np.array([r["hash"] for r in found], np.int64).view(np.uint64), np.array([r["count"] for r in found], np.int64)
+    order = np.argsort(late)
+    return late[order], rank[order]
+
+
+def unproposed(rows: DataFrame, edges: DataFrame, text_col: str = "text", fp_col: str = "fp", similarity: float = SIMILARITY, shingle: int = WORDS) -> DataFrame:
+    """Pairs (a, b) of nodes that `edges` do not connect, with all those of that similarity among them.
+
+    Sets share a hash of their prefixes, whatever the order of hashes is; frequent ones (of a sample) come last, so that few
+    sets meet. Pairs whose parity codes differ in more bits than the sets may in members are left out.
+    """
+    spark = rows.sparkSession
+    small_batches(spark)
+    fp = F.col(fp_col)
+    texts = rows.select(fp["node"].alias("node"), F.col(text_col).alias("text")).where(fp["size"] > 0)
+    late, rank = _frequent(texts, shingle)
+
+    def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for frame in frames:
+            frame = frame.drop_duplicates("node")
+            frame = frame[~frame["node"].isin(seen)]
+            seen.update(frame["node"].tolist())
+            hashes = [prefix(shingle_hashes(t, shingle), late, rank, similarity) for t in frame["text"]]
+            if hashes:
+                yield pd.DataFrame({"bucket": np.concatenate(hashes).view(np.int64), "node": np.repeat(frame["node"].to_numpy(), [len(h) for h in hashes])})
+
+    n_tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = texts.mapInPandas(prefixes, "bucket long, node long").repartition(n_tasks, "bucket")
+    same = Window.partitionBy("bucket")
+    dealt = dealt.withColumn("low", F.min("node").over(same)).withColumn("high", F.max("node").over(same))
+    shared = stored(dealt.where("low < high").select("bucket", "node").distinct(), "shared-shingles")
+    about = rows.select(fp["node"].alias("node"), fp["size"].cast("long").alias("size")).dropDuplicates(["node"])
+    about = about.join(components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("component"), "size")
+    placed = shared.join(about, "node").select("bucket", "node", "component", "size").repartition(n_tasks, "bucket").sortWithinPartitions("bucket")
+    with batch_rows(spark, 1 << 16):
+        pairs = stored(placed.mapInPandas(_sets(_across(similarity), ("node", "component", "size")), "a long, b long"), "prefix-pairs").distinct()
+    codes = rows.select(fp["node"].alias("node"), fp["size"].alias("size"), fp["parity"].alias("code")).dropDuplicates(["node"])
+
+    @F.pandas_udf("boolean")
+    def possible(x: pd.Series, y: pd.Series, total: pd.Series) -> pd.Series:
+        return pd.Series(codes_apart(x.tolist(), y.tolist()) <= total.to_numpy() * (1 - similarity) / (1 + similarity) + 1e-6)
+
+    met = pairs.join(codes.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("code").alias("x")), "a")
+    met = met.join(codes.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("code").alias("y")), "b")
+    return cut(met.where(possible("x", "y", F.col("m") + F.col("n"))).select("a", "b"))
+
+
 def node_of(fp_col: str) -> F.Column:
     """A wide fingerprint as one number, for joins; two share one by a chance of 2^-64."""
     return F.xxhash64(F.col(fp_col)["w0"], F.col(fp_col)["w1"])
@@ -355,12 +488,22 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", fp_col: str = "fp
 
 
 def with_wide_fingerprints(docs: DataFrame, text_col: str = "text", fp_col: str = "fp", shingle: int = WORDS) -> DataFrame:
-    """docs with fp (a struct of w0 and w1, long); a column so called gives way. Null and empty texts have zeros."""
+    """docs with fp; a column so called gives way. Null and empty texts have zeros.
+
+    fp is a struct: w0 and w1 (long, the bits), and of the set of different shingles node (long: its hash), size (int) and
+    parity (its `parity_code`).
+    """
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("w0 long, w1 long")
+    @F.pandas_udf("w0 long, w1 long, node long, size int, parity binary")
     def fp(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(np.array([wide_fingerprint(t, shingle) for t in texts], dtype=np.uint64).reshape(-1, 2).view(np.int64), columns=["w0", "w1"])
+        out = []
+        for text in texts:
+            h = _digests(text, shingle)
+            w0, w1 = _majority(h).view(np.int64).tolist()
+            words = np.sort(h.view(np.uint64)[:, 0])
+            out.append((w0, w1, np.uint64(xxhash.xxh3_64_intdigest(words.tobytes())).astype(np.int64), len(words), parity_code(words)))
+        return pd.DataFrame(out, columns=["w0", "w1", "node", "size", "parity"])
 
     return spread(docs).withColumn(fp_col, fp(F.col(text_col)))
 
@@ -401,8 +544,15 @@ def keep_one(rows: DataFrame, id_col: str = "doc_id", fp_col: str = "fp", radius
 def keep_similar(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", fp_col: str = "fp", similarity: float = SIMILARITY) -> DataFrame:
     """As keep_one, of what near copies by shingle similarity connect; rows (stored ones) are `with_wide_fingerprints`.
 
-    Rows of equal fingerprints are one node, and empty and null texts are one. The fingerprint column becomes one number.
+    Rows of equal shingle sets are one node, and empty and null texts are one. The fingerprint column becomes one number.
     """
-    edges = similar_links(rows, fp_col, radius_of(similarity, spreads=SPREADS))
-    rows = rows.withColumn(fp_col, node_of(fp_col))
-    return _one(rows, id_col, fp_col, verified(edges, rows, id_col, text_col, fp_col, similarity))
+    nodes = rows.select(F.col(fp_col)["node"].alias("node"), node_of(fp_col).alias("print")).distinct()
+    firsts = nodes.groupBy("print").agg(F.min("node").alias("first"))
+    found = similar_links(rows, fp_col, radius_of(similarity, spreads=SPREADS))
+    for end in ("a", "b"):  # a fingerprint's links are those of its least node, to which its others are tied
+        found = found.join(firsts.select(F.col("print").alias(end), F.col("first").alias(f"{end}_node")), end)
+    twins = nodes.join(firsts, "print").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    named = rows.withColumn(fp_col, F.col(fp_col)["node"])
+    edges = verified(cut(found.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).unionByName(twins)), named, id_col, text_col, fp_col, similarity)
+    rest = verified(unproposed(rows, edges, text_col, fp_col, similarity), named, id_col, text_col, fp_col, similarity)
+    return _one(named, id_col, fp_col, edges.unionByName(rest))

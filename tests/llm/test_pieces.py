@@ -10,6 +10,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from siftspark.llm import ann, bpe, classifier, mixing, rules, simhash, suffixes, warc
 
@@ -109,6 +110,44 @@ def test_near_copies_are_told_by_their_shingles(spark):
     assert simhash.keep_similar(simhash.with_wide_fingerprints(docs.limit(0))).count() == 0
 
 
+def test_near_copies_do_not_hang_on_the_index(spark):
+    """Pairs of 90 shingles each that share 80 (0.8 exactly) or 79: all of the first go, whatever the index proposes."""
+    texts, want = [], set()
+    for g in range(400):
+        new = 10 if g % 4 else 11
+        words = [f"g{g}w{i}" for i in range(94)]
+        want |= {2 * g} if new == 10 else {2 * g, 2 * g + 1}
+        texts += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[:-new] + [f"n{g}w{i}" for i in range(new)]))]
+    rows = simhash.with_wide_fingerprints(spark.createDataFrame(texts, "doc_id long, text string")).localCheckpoint()
+    assert {r["doc_id"] for r in simhash.keep_similar(rows).collect()} == want
+    few = rows.where("doc_id < 80")
+    for w0 in (F.lit(7).cast("long"), F.xxhash64("doc_id")):  # all fingerprints equal, or none near another
+        odd = few.withColumn("fp", F.col("fp").withField("w0", w0).withField("w1", F.hash(w0).cast("long") * 1_000_003))
+        assert {r["doc_id"] for r in simhash.keep_similar(odd).collect()} == {i for i in want if i < 80}
+
+
+def test_prefixes_and_parity_codes_lose_no_pair():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(1, 300))
+        x = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        y = np.unique(np.concatenate([x[: int(n * rng.uniform(0.7, 1))], rng.integers(0, 1 << 63, int(rng.integers(0, n // 5 + 1))).astype(np.uint64)]))
+        x = np.unique(x)
+        both = len(np.intersect1d(x, y))
+        late = np.unique(rng.choice(x, n // 3))
+        rank = rng.integers(1, 9, len(late))
+        if both and both >= 0.8 * (len(x) + len(y) - both):
+            assert np.intersect1d(simhash.prefix(x, late, rank), simhash.prefix(y, late, rank)).size
+        codes = [simhash.parity_code(s) for s in (x, y)]
+        assert simhash.codes_apart(codes[:1], codes[1:])[0] <= len(x) + len(y) - 2 * both
+        assert (simhash.codes_apart(codes, codes) == 0).all()
+    # pairs across components of one bucket, of sizes that allow 0.8; made one row at a time they are the same
+    rows = np.array([(n, n % 3, 50 + n) for n in range(30)], np.int64)
+    pairs = {(a, b) for a in range(30) for b in range(a) if a % 3 != b % 3 and a // 15 == b // 15 and 50 + b >= 0.8 * (50 + a)}
+    found = simhash._across(0.8)(np.arange(30) // 15, rows.view(np.uint64))
+    assert {(b, a) for f in found for a, b in f.itertuples(index=False)} == pairs
+
+
 def test_wide_links_and_similarity(spark):
     masks = np.array([np.unpackbits(m.view(np.uint8)) for m in simhash.masks()])
     assert masks.shape == (96, 128) and (masks.sum(1) == 16).all() and all((masks[i : i + 8].sum(0) == 1).all() for i in range(0, 96, 8))
