@@ -14,6 +14,13 @@ The index only proposes: each bucket gives a forest, nearest pairs first, and li
 themselves, compared exactly, are similar enough. What the index and its forests leave out follows exactly (`unproposed`):
 sets of similarity s share a shingle among the first n - ceil(s n) + 1 of their n shingles in any one order, so texts that
 do are paired if no link connects them yet, and their sets are compared too. Components are those of all pairs.
+
+Large groups of texts that share most shingles, but too few to be linked, would meet in all their pairs that way. Where a
+shingle's texts make too many pairs they are a family, told apart by how they differ from its centre c, the shingles that most of
+them hold: sets x and y differ as x ^ c and y ^ c do. With s the similarity, r = (1 - s) / (1 + s) and the excess of x
+|x ^ c| - r |x|, they are similar if and only if x ^ c and y ^ c share at least half the sum of their excesses. So all
+of no excess together hang on the text of the least one, and others share an early one of their differences, rare ones
+first. Plain sets are the differences from an empty centre, and a family in which too many meet again gets new centres.
 """
 
 from __future__ import annotations
@@ -39,6 +46,10 @@ SPREADS, STEPS = 3.0, 5
 #: Of the exact pairs: bits of a set's parity code at most, every so many-th set (of so many in all) that is counted for the order,
 #: shingles that the order puts last, and pairs that are made at a time. None of them bears on the result.
 PARITY, SAMPLED, SAMPLE, FREQUENT, PAIRS = 1 << 15, 16, 1 << 15, 100_000, 1 << 20
+#: Pairs a row over which the texts of one shingle are a family, members of a family that give its centre (about twice that at most),
+#: how often families get centres before what is left is paired, family members that a join broadcasts, and edges between or within
+#: families that the driver puts together (more are left to `components`). Nor do these.
+CROWD, CENTRE, CENTRES, BROADCAST, GATHERED = 32, 256, 3, 1 << 16, 1 << 17
 #: Fan-out of the index, and queries that are searched at once.
 FAN, QUERIES = 8, 1 << 14
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -288,17 +299,61 @@ def _wide_edges(radius: int) -> Callable[[np.ndarray, np.ndarray], Iterator[pd.D
     return edges
 
 
-def _across(similarity: float) -> Callable[[np.ndarray, np.ndarray], Iterator[pd.DataFrame]]:
-    """Pairs of nodes of one bucket whose components differ and whose sizes allow the similarity; some come repeatedly."""
+def _ratio(similarity: float) -> float:
+    """Of the sizes of two sets in sum, the part in which sets of that similarity differ."""
+    return (1 - similarity) / (1 + similarity)
+
+
+def _elsewhere(values: np.ndarray, new: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The least value of each row's bucket outside its component (inf if none). new, other: where buckets and components begin."""
+    groups = np.flatnonzero(other)
+    least, firsts, at = np.minimum.reduceat(values, groups), np.flatnonzero(new[groups]), np.cumsum(new[groups]) - 1
+    lowest = np.minimum.reduceat(least, firsts)[at]
+    is_lowest = least == lowest
+    alone = is_lowest & (np.add.reduceat(is_lowest.astype(np.int64), firsts)[at] == 1)
+    second = np.minimum.reduceat(np.where(is_lowest, np.inf, least), firsts)[at]
+    return np.repeat(np.where(alone, second, lowest), np.diff(np.append(groups, len(values))))
+
+
+def _across(similarity: float, crowd: float | None = None) -> Callable[[np.ndarray, np.ndarray], Iterator[pd.DataFrame]]:
+    """Pairs of nodes of one bucket whose components differ and whose sizes allow the similarity; some come repeatedly.
+
+    Rows are (node, component, size) or also (apart, place): members of the node's difference from its centre and which of them
+    the bucket is. Pairs that share too few from there on are left out. With crowd, pairs have a column crowded: where a
+    bucket would make more than crowd pairs a row, its rows are tied to one of them instead (crowded is true).
+    """
 
     def pairs(bucket: np.ndarray, codes: np.ndarray) -> Iterator[pd.DataFrame]:
+        def framed(x: np.ndarray, y: np.ndarray, crowded: bool) -> pd.DataFrame:
+            frame = pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
+            return frame if crowd is None else frame.assign(crowded=crowded)
+
         codes = codes[order := np.lexsort((codes[:, 1], bucket))]
-        bucket, (node, component, size) = bucket[order], codes.view(np.int64).T
-        new = np.append(True, bucket[1:] != bucket[:-1])
-        other = new | np.append(True, component[1:] != component[:-1])
+        bucket, codes = bucket[order], codes.view(np.int64)
+        placed = codes.shape[1] > 3
+        # sets share at most what is left of them from the place on, and half their excesses must be
+        excess = codes[:, 3] - _ratio(similarity) * codes[:, 2] if placed else np.zeros(len(codes))
+        most = 2 * (codes[:, 3] - codes[:, 4]) - excess + 1e-6 if placed else np.full(len(codes), np.inf)
+        while True:
+            new = np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)]
+            other = new | np.append(True, codes[1:, 1] != codes[:-1, 1])[: len(bucket)]
+            if not len(bucket):
+                return
+            stay = (_elsewhere(excess, new, other) <= most) & (-_elsewhere(-most, new, other) >= excess) if placed else np.full(len(bucket), True)
+            if stay.all():
+                break
+            bucket, codes, excess, most = bucket[stay], codes[stay], excess[stay], most[stay]
         # a row meets the rows of its bucket that come after its component
-        stop, after = (np.append(np.flatnonzero(first)[1:], len(node))[np.cumsum(first) - 1] for first in (new, other))
+        stop, after = (np.append(np.flatnonzero(first)[1:], len(bucket))[np.cumsum(first) - 1] for first in (new, other))
         many = stop - after
+        if crowd is not None:
+            begin, at = np.flatnonzero(new), np.cumsum(new) - 1
+            crowded = (np.add.reduceat(many, begin) > crowd * np.diff(np.append(begin, len(bucket))))[at]
+            if crowded.any():
+                least = np.minimum.reduceat(codes[:, 0], begin)[at]
+                yield framed(least[crowded], codes[crowded, 0], True)
+                many = np.where(crowded, 0, many)
+        node, size = codes[:, 0], codes[:, 2]
         total, i = np.cumsum(many), 0
         while i < len(node):
             j = max(i + 1, int(np.searchsorted(total, total[i] - many[i] + PAIRS, side="right")))
@@ -306,9 +361,10 @@ def _across(similarity: float) -> Callable[[np.ndarray, np.ndarray], Iterator[pd
             one = np.repeat(np.arange(i, j), m)
             two = np.arange(len(one)) + np.repeat(after[i:j] - (np.cumsum(m) - m), m)
             near = np.minimum(size[one], size[two]) >= similarity * np.maximum(size[one], size[two]) - 1e-6
+            near &= (excess[one] <= most[two]) & (excess[two] <= most[one])
             x, y = node[one[near]], node[two[near]]
             if len(x):
-                yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
+                yield framed(x, y, False)
             i = j
 
     return pairs
@@ -428,11 +484,105 @@ def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return late[order], rank[order]
 
 
+def _meeting(dealt: DataFrame, n_tasks: int) -> DataFrame:
+    """Rows (bucket, node, ...) of buckets of two nodes or more, each once."""
+    same = Window.partitionBy("bucket")
+    dealt = dealt.repartition(n_tasks, "bucket").withColumn("low", F.min("node").over(same)).withColumn("high", F.max("node").over(same))
+    return stored(dealt.where("low < high").drop("low", "high").distinct(), "shared-shingles")
+
+
+def difference(hashes: np.ndarray, seen: np.ndarray, count: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a set (ascending) and its family's centre do not share, what is rare in the family first, and in how many members it is so.
+
+    Of `many` members that were looked at, `count` hold each hash of `seen` (ascending, all that two hold); the centre is what
+    over half of them hold.
+    """
+    centre = 2 * count > many
+    apart = np.setxor1d(hashes, seen[centre], assume_unique=True)
+    known = np.zeros(len(apart), np.int64)
+    if len(seen):
+        at = np.minimum(np.searchsorted(seen, apart), len(seen) - 1)
+        known = np.where(seen[at] == apart, np.where(centre, many - count, count)[at], 0)
+    order = np.argsort(known, kind="stable")
+    return apart[order], known[order]
+
+
+def _gathered(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """As components(edges); few edges are put together on the driver."""
+    edges = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a != b").distinct())
+    if edges.count() > GATHERED:
+        return components(edges)
+    ends = np.array([tuple(r) for r in edges.collect()], np.int64).reshape(-1, 2)
+    nodes, places = np.unique(ends, return_inverse=True)
+    label, places = np.arange(len(nodes)), places.reshape(-1, 2)
+    _merge(label, places[:, 0], places[:, 1])
+    while (label[label] != label).any():
+        label = label[label]
+    return edges.sparkSession.createDataFrame(list(zip(nodes.tolist(), nodes[label].tolist(), strict=True)), "node long, component long")
+
+
+def _from_centres(texts: DataFrame, families: DataFrame, n_tasks: int, similarity: float, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (bucket, node, apart, place) of families' early differences, and pairs (a, b) that are similar by their excess.
+
+    families: node, component. texts: node, text.
+    """
+
+    @F.pandas_udf("array<long>")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: shingle_hashes(text, shingle).view(np.int64))
+
+    def counts(members: pd.DataFrame) -> pd.DataFrame:
+        seen, count = np.unique(np.concatenate([np.asarray(h, np.int64) for h in members["shingles"]]).view(np.uint64), return_counts=True)
+        seen, count = seen[count > 1], count[count > 1]
+        return pd.DataFrame([(members["family"].iloc[0], len(members), seen.view(np.int64), count)], columns=["family", "many", "seen", "count"])
+
+    def differences(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for node, family, every, own, many, seen, count in frame.itertuples(index=False):
+                seen, count = (np.array([] if x is None else x, np.int64) for x in (seen, count))
+                apart, known = difference(np.asarray(own, np.int64).view(np.uint64), seen.view(np.uint64), count, 0 if many is None or many != many else int(many))
+                # where all members were looked at, what one of them only has meets nothing
+                place = np.flatnonzero(known > 1) if every == 1 else np.arange(len(apart))
+                out.append((node, family, len(own), len(apart), place, apart[place].view(np.int64)))
+            yield pd.DataFrame(out, columns=["node", "family", "size", "apart", "place", "hash"])
+
+    families = cut(families.withColumnRenamed("component", "family"))
+    sizes = families.groupBy("family").agg(F.expr(f"greatest(1, count(*) div {CENTRE})").alias("every"))
+    known = families.join(sizes, "family")
+    known = F.broadcast(known) if families.count() <= BROADCAST else known
+    sets = stored(texts.join(known, "node").dropDuplicates(["node"]).select("node", "family", "every", hashes("text").alias("shingles")), "families")
+    counted = sets.where(F.pmod(F.xxhash64("node"), "every") == 0).select("family", "shingles")
+    centres = counted.groupBy("family").applyInPandas(counts, "family long, many long, seen array<long>, count array<long>")
+    placed = sets.join(centres, "family", "left").select("node", "family", "every", "shingles", "many", "seen", "count")
+    placed = stored(placed.mapInPandas(differences, "node long, family long, size long, apart long, place array<long>, hash array<long>"), "differences")
+    ratio = _ratio(similarity)
+    placed = placed.withColumn("excess", F.col("apart") - ratio * F.col("size"))
+    hubs = placed.groupBy("family").agg(F.min(F.struct("excess", "node")).alias("hub"))
+    placed = placed.join(hubs.select("family", F.col("hub.excess").alias("least"), F.col("hub.node").alias("hub")), "family")
+    # half the excesses must be shared: those on the hub meet others only, and no set that is similar is much nearer to the centre
+    tied = F.col("excess") + F.col("least") <= 1e-9
+    other = F.greatest(F.when(tied, -F.col("least")).otherwise(F.col("least")), F.col("excess") - 2 * ratio / similarity * F.col("size"))
+    early = F.filter(F.arrays_zip("place", "hash"), lambda d: d["place"] <= F.col("apart") - (F.col("excess") + other) / 2 + 1e-6)
+    rows = placed.select("node", "family", "apart", F.inline(early)).select(F.xxhash64("family", "hash").alias("bucket"), "node", "apart", "place")
+    stars = cut(placed.where(tied & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    return _meeting(rows, n_tasks), stars
+
+
+def _joined(about: DataFrame, edges: DataFrame) -> DataFrame:
+    """about (node, component, size) with the components that the edges join made one."""
+    for end in ("a", "b"):
+        edges = edges.join(about.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end)
+    one = _gathered(edges, "of_a", "of_b").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    return cut(about.join(one, "component", "left").select("node", F.coalesce("whole", "component").alias("component"), "size"))
+
+
 def unproposed(rows: DataFrame, edges: DataFrame, text_col: str = "text", fp_col: str = "fp", similarity: float = SIMILARITY, shingle: int = WORDS) -> DataFrame:
-    """Pairs (a, b) of nodes that `edges` do not connect, with all those of that similarity among them.
+    """Pairs (a, b) of nodes that, with `edges`, connect all that pairs of that similarity connect; others are among them.
 
     Sets share a hash of their prefixes, whatever the order of hashes is; frequent ones (of a sample) come last, so that few
-    sets meet. Pairs whose parity codes differ in more bits than the sets may in members are left out.
+    sets meet. Where many do, they are told apart by their differences from the centre of a family, which holds all of them. Pairs
+    whose parity codes differ in more bits than the sets may in members are left out.
     """
     spark = rows.sparkSession
     small_batches(spark)
@@ -448,23 +598,33 @@ def unproposed(rows: DataFrame, edges: DataFrame, text_col: str = "text", fp_col
             seen.update(frame["node"].tolist())
             hashes = [prefix(shingle_hashes(t, shingle), late, rank, similarity) for t in frame["text"]]
             if hashes:
-                yield pd.DataFrame({"bucket": np.concatenate(hashes).view(np.int64), "node": np.repeat(frame["node"].to_numpy(), [len(h) for h in hashes])})
+                many = [len(h) for h in hashes]
+                yield pd.DataFrame({"bucket": np.concatenate(hashes).view(np.int64), "node": np.repeat(frame["node"].to_numpy(), many), "place": np.concatenate([np.arange(m) for m in many])})
 
     n_tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = texts.mapInPandas(prefixes, "bucket long, node long").repartition(n_tasks, "bucket")
-    same = Window.partitionBy("bucket")
-    dealt = dealt.withColumn("low", F.min("node").over(same)).withColumn("high", F.max("node").over(same))
-    shared = stored(dealt.where("low < high").select("bucket", "node").distinct(), "shared-shingles")
     about = rows.select(fp["node"].alias("node"), fp["size"].cast("long").alias("size")).dropDuplicates(["node"])
-    about = about.join(components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("component"), "size")
-    placed = shared.join(about, "node").select("bucket", "node", "component", "size").repartition(n_tasks, "bucket").sortWithinPartitions("bucket")
-    with batch_rows(spark, 1 << 16):
-        pairs = stored(placed.mapInPandas(_sets(_across(similarity), ("node", "component", "size")), "a long, b long"), "prefix-pairs").distinct()
+    about = cut(about.join(components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("component"), "size"))
+    shared = _meeting(texts.mapInPandas(prefixes, "bucket long, node long, place long"), n_tasks)
+    found, words = [], ("node", "component", "size", "apart", "place")
+    for left in range(CENTRES, -1, -1):
+        placed = shared.join(about, "node")
+        placed = placed if "apart" in shared.columns else placed.withColumn("apart", F.col("size"))
+        placed = placed.select("bucket", *words).repartition(n_tasks, "bucket").sortWithinPartitions("bucket")
+        with batch_rows(spark, 1 << 16):
+            met = stored(placed.mapInPandas(_sets(_across(similarity, CROWD if left else float("inf")), words), "a long, b long, crowded boolean"), "prefix-pairs")
+        found.append(met.where("not crowded").select("a", "b"))
+        crowded = met.where("crowded").select("a", "b")
+        if crowded.isEmpty():
+            break
+        shared, stars = _from_centres(texts, _gathered(crowded), n_tasks, similarity, shingle)
+        found.append(stars)
+        about = _joined(about, stars)
+    pairs = reduce(DataFrame.unionByName, found).distinct()
     codes = rows.select(fp["node"].alias("node"), fp["size"].alias("size"), fp["parity"].alias("code")).dropDuplicates(["node"])
 
     @F.pandas_udf("boolean")
     def possible(x: pd.Series, y: pd.Series, total: pd.Series) -> pd.Series:
-        return pd.Series(codes_apart(x.tolist(), y.tolist()) <= total.to_numpy() * (1 - similarity) / (1 + similarity) + 1e-6)
+        return pd.Series(codes_apart(x.tolist(), y.tolist()) <= total.to_numpy() * _ratio(similarity) + 1e-6)
 
     met = pairs.join(codes.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("code").alias("x")), "a")
     met = met.join(codes.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("code").alias("y")), "b")

@@ -148,6 +148,47 @@ def test_prefixes_and_parity_codes_lose_no_pair():
     assert {(b, a) for f in found for a, b in f.itertuples(index=False)} == pairs
 
 
+@pytest.mark.parametrize(("crowd", "centre", "centres"), [(16, 256, 3), (0.5, 2, 2), (1, 8, 0)])
+def test_families_just_under_the_similarity(spark, monkeypatch, crowd, centre, centres):
+    rng, texts = random.Random(5), {}
+    for family in range(2):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        for _ in range(150):  # four to seven words changed: most pairs of these share half to three quarters of all shingles
+            other = list(base)
+            for at in rng.sample(range(150), rng.randrange(4, 8)):
+                other[at] = f"x{rng.randrange(3)}" if family else f"x{rng.randrange(10**6)}"
+            texts[len(texts)] = " ".join(other)
+            if rng.random() < 0.1:  # and a near copy of its own
+                other[rng.randrange(150)] = "y"
+                texts[len(texts)] = " ".join(other[: rng.randrange(140, 151)])
+    texts |= {len(texts) + i: t for i, t in enumerate(["", "a b c", " ".join(base), *(" ".join(f"z{rng.randrange(400)}" for _ in range(90)) for _ in range(20))])}
+    made = []
+
+    def kept(df, name, *more, store=simhash.stored):
+        made.append((name, store(df, name, *more)))
+        return made[-1][1]
+
+    for name, value in (("CROWD", crowd), ("CENTRE", centre), ("CENTRES", centres), ("stored", kept)):
+        monkeypatch.setattr(simhash, name, value, raising=False)
+    rows = simhash.with_wide_fingerprints(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).cache()
+    found = simhash.unproposed(rows, spark.createDataFrame([], "a long, b long")).collect()
+    if centre == 256:  # with good centres few pairs are made (14 350 without families)
+        assert sum(df.select("a", "b").distinct().count() for name, df in made if name == "prefix-pairs") < 3000
+    node = {r["doc_id"]: r["node"] for r in rows.select("doc_id", "fp.node").collect()}
+    sets = {node[i]: s for i, s in shingle_sets(texts).items()}
+    similar = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+
+    def groups(pairs):
+        tied = {n: n for n in sets}
+        for a, b in pairs:
+            if tied[a] != tied[b] and similar(sets[a], sets[b]):
+                tied = {k: tied[a] if g == tied[b] else g for k, g in tied.items()}
+        return {frozenset(k for k in tied if tied[k] == g) for g in tied.values()}
+
+    want = groups((a, b) for a in sets for b in sets if a < b)
+    assert groups((r["a"], r["b"]) for r in found) == want and 100 < len(want) < len(texts) - 20
+
+
 def test_wide_links_and_similarity(spark):
     masks = np.array([np.unpackbits(m.view(np.uint8)) for m in simhash.masks()])
     assert masks.shape == (96, 128) and (masks.sum(1) == 16).all() and all((masks[i : i + 8].sum(0) == 1).all() for i in range(0, 96, 8))
