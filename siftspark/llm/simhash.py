@@ -448,10 +448,11 @@ def similar_links(fingerprints: DataFrame, fp_col: str = "fp", radius: int | Non
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def verified(edges: DataFrame, rows: DataFrame, id_col: str, text_col: str, node_col: str, similarity: float = SIMILARITY, shingle: int = WORDS) -> DataFrame:
+def verified(edges: DataFrame, rows: DataFrame, id_col: str, text_col: str, node_col: str, similarity: float = SIMILARITY, shingle: int = WORDS, names: DataFrame | None = None) -> DataFrame:
     """Those edges (a, b) whose texts' sets of shingles have that Jaccard similarity, exactly (shingles by 64-bit hash).
 
     A node's text is that of its least row (null ids last). Only texts of nodes with edges are read into sets.
+    With names (key, node) edges are between keys, and those returned between their nodes.
     """
 
     @F.pandas_udf("array<long>")
@@ -459,14 +460,18 @@ def verified(edges: DataFrame, rows: DataFrame, id_col: str, text_col: str, node
         return texts.map(lambda text: shingle_hashes(text, shingle).view(np.int64))
 
     small_batches(rows.sparkSession)
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    keys = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    keys = keys.withColumn("node", F.col("key")) if names is None else cut(keys.join(names, "key"))
+    nodes = keys.select("node").distinct()
     least = F.min_by(F.coalesce("text", F.lit("")), F.struct(F.col("id").isNull(), F.col("id"), F.xxhash64("text")))
     own = rows.select(F.col(node_col).alias("node"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = own.join(nodes, "node", "left_semi").groupBy("node").agg(least.alias("text"))
     sets = stored(texts.select("node", hashes("text").alias("shingles")), "shingles")
-    pairs = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    keyed = sets if names is None else sets.join(keys, "node")
+    ends = [keyed.select(F.col("node" if names is None else "key").alias(k), F.col("node").alias(f"{k}_node"), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y"))]
+    pairs = edges.join(ends[0], "a").join(ends[1], "b")
     both, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    return cut(pairs.where(both >= similarity * (total - both) - 1e-9).select("a", "b"))
+    return cut(pairs.where(both >= similarity * (total - both) - 1e-9).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
 
 
 def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -709,10 +714,11 @@ def keep_similar(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nodes = rows.select(F.col(fp_col)["node"].alias("node"), node_of(fp_col).alias("print")).distinct()
     firsts = nodes.groupBy("print").agg(F.min("node").alias("first"))
     found = similar_links(rows, fp_col, radius_of(similarity, spreads=SPREADS))
-    for end in ("a", "b"):  # a fingerprint's links are those of its least node, to which its others are tied
-        found = found.join(firsts.select(F.col("print").alias(end), F.col("first").alias(f"{end}_node")), end)
-    twins = nodes.join(firsts, "print").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    # a fingerprint's links are those of its least node, to which its others are tied
+    twins = nodes.join(firsts, "print").where("node != first")
+    names = firsts.select(F.col("print").alias("key"), F.col("first").alias("node")).unionByName(twins.select(F.col("node").alias("key"), "node"))
     named = rows.withColumn(fp_col, F.col(fp_col)["node"])
-    edges = verified(cut(found.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).unionByName(twins)), named, id_col, text_col, fp_col, similarity)
+    proposed = cut(found.unionByName(twins.select(F.col("print").alias("a"), F.col("node").alias("b"))))
+    edges = verified(proposed, named, id_col, text_col, fp_col, similarity, names=names)
     rest = verified(unproposed(rows, edges, text_col, fp_col, similarity), named, id_col, text_col, fp_col, similarity)
     return _one(named, id_col, fp_col, edges.unionByName(rest))
