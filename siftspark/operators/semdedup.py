@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftspark.functions import vectors
-from siftspark.operators import similarity
-from siftspark.operators.resolve import resolve
+from siftspark.operators import greedy
 
 #: Rows of a cluster whose products with the rest are taken at once.
 ROWS = 2048
@@ -99,19 +98,15 @@ def grouped(rows: DataFrame, eps: float, cluster_col: str = "cluster", size_col:
     centroid's part alone), best first, ties by id. A duplicate belongs to the most similar kept row."""
     near = centroid_similarity(rows, cluster_col, id_col, vector_col)
     score = F.col("similarity_to_centroid") if size_col is None else 0.7 * F.col("similarity_to_centroid") + 0.3 * vectors.min_max(F.col(size_col), F.col(cluster_col))
-    placed = near.withColumn("_score", score).withColumn("_at", F.struct((-F.coalesce("_score", F.lit(0.0))).alias("far"), F.col(id_col).alias("id")))
-    flat = similarity.cosine_edges(placed, 1 - eps, id_col, vector_col, cluster_col)
-    at = placed.select(F.col(id_col).alias("_i"), "_at")
-    edges = flat.join(at.withColumnRenamed("_i", "a").withColumnRenamed("_at", "at_a"), "a").join(at.withColumnRenamed("_i", "b").withColumnRenamed("_at", "at_b"), "b").select(F.col("at_a").alias("a"), F.col("at_b").alias("b"), "similarity")
-    done = resolve(placed, edges, "_at", by="most")
-    return done.withColumn("original", F.col("original.id")).drop("_at", "_score", "similarity_to_centroid")
-
-
-def dynamic(rows: DataFrame, eps: float = 0.15, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 42) -> DataFrame:
-    """Clusters of about a thousand by k-means, then grouped(). A single cluster is all pairs by id order."""
-    clustered = kmeans(rows, None, id_col, vector_col, seed)
-    if clustered.select("cluster").where("cluster > 0").isEmpty():
-        return resolve(rows, similarity.cosine_edges(rows, 1 - eps, id_col, vector_col), id_col)
+    placed = near.withColumn("_score", score)
+    return greedy.resolve(placed, greedy.cosine(1 - eps), id_col, vector_col, -F.coalesce("_score", F.lit(0.0)), cluster_col, by="most", onto=rows)
+
+
+def dynamic(rows: DataFrame, eps: float = 0.15, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 42, k: int | None = None) -> DataFrame:
+    """k clusters by k-means (about a thousand rows each if not given), then grouped(). A single cluster is all pairs by id order."""
+    clustered = rows if k == 1 else kmeans(rows, k, id_col, vector_col, seed)
+    if k == 1 or clustered.select("cluster").where("cluster > 0").isEmpty():
+        return greedy.resolve(rows, greedy.cosine(1 - eps), id_col, vector_col)
     return grouped(clustered, eps, "cluster", None, id_col, vector_col)
 
 
