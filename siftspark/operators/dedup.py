@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftspark.functions import sketch, text, vectors
-from siftspark.operators import fold, similarity
+from siftspark.operators import fold, greedy, similarity
 from siftspark.operators.resolve import resolve
 from siftspark.session import checkpointed, spread
 
@@ -177,8 +177,7 @@ def text_pipeline(docs: DataFrame, method: str = "jaccard", threshold: float = 0
 
 def bits_jaccard(rows: DataFrame, threshold: float = 0.75, order_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Greedy near-duplicates by Jaccard of positive places; vectors without any are like nothing."""
-    sets = rows.select(F.col(order_col).alias("id"), F.transform(vectors.set_bits(F.col(vector_col)), lambda x: x.cast("string")).alias("grams"))
-    return resolve(_bare(rows), similarity.jaccard_edges(sets, threshold, both_empty=False), order_col)
+    return greedy.resolve(_bare(rows), greedy.bits(threshold), order_col, vector_col)
 
 
 def bits_lsh_pairs(rows: DataFrame, threshold: float = 0.75, b: int = 20, r: int = 10, collisions: int = 2, order_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
