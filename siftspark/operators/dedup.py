@@ -190,7 +190,7 @@ def bits_lsh_pairs(rows: DataFrame, threshold: float = 0.75, b: int = 20, r: int
 
 
 def bits_lsh(rows: DataFrame, threshold: float = 0.75, b: int = 20, r: int = 10, collisions: int = 2, order_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    return resolve(_bare(rows), bits_lsh_pairs(rows, threshold, b, r, collisions, order_col, vector_col).drop("collisions"), order_col)
+    return greedy.resolve(_bare(rows), greedy.bits_lsh(threshold, b, r, collisions), order_col, vector_col)
 
 
 def cosine(rows: DataFrame, threshold: float = 0.95, strict: bool = False, order_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
