@@ -98,8 +98,9 @@ def grouped(rows: DataFrame, eps: float, cluster_col: str = "cluster", size_col:
     centroid's part alone), best first, ties by id. A duplicate belongs to the most similar kept row."""
     near = centroid_similarity(rows, cluster_col, id_col, vector_col)
     score = F.col("similarity_to_centroid") if size_col is None else 0.7 * F.col("similarity_to_centroid") + 0.3 * vectors.min_max(F.col(size_col), F.col(cluster_col))
-    placed = near.withColumn("_score", score)
-    return greedy.resolve(placed, greedy.cosine(1 - eps), id_col, vector_col, -F.coalesce("_score", F.lit(0.0)), cluster_col, by="most", onto=rows)
+    # a distance of 1 - score, as SQL ranks by: scores that differ in bits which that leaves out are ties
+    placed = near.withColumn("_far", 1 - F.coalesce(score, F.lit(0.0)))
+    return greedy.resolve(placed, greedy.cosine(1 - eps), id_col, vector_col, F.col("_far"), cluster_col, by="most", onto=rows)
 
 
 def dynamic(rows: DataFrame, eps: float = 0.15, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 42, k: int | None = None) -> DataFrame:
