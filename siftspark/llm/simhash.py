@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftspark.llm.shared import batch_rows, components, cut, fresh, small_batches, spread, stored
+from siftspark.llm.shared import batch_rows, components, cut, fresh, passing, released, small_batches, spread, stored
 
 RADIUS, SHINGLE, BITS = 4, 4, 64
 #: Of near copies by shingle similarity: words of a shingle, similarity, bits, permutations of them, bits of a mask.
@@ -50,6 +50,8 @@ PARITY, SAMPLED, SAMPLE, FREQUENT, PAIRS = 1 << 15, 16, 1 << 15, 100_000, 1 << 2
 #: how often families get centres before what is left is paired, family members that a join broadcasts, and edges between or within
 #: families that the driver puts together (more are left to `components`). Nor do these.
 CROWD, CENTRE, CENTRES, BROADCAST, GATHERED = 32, 256, 3, 1 << 16, 1 << 17
+#: Bits that tell which texts a join may need: so many a node and at most in all (beyond, more texts go to the join than it needs).
+SLOTS, MOST_SLOTS = 8, 1 << 24
 #: Fan-out of the index, and queries that are searched at once.
 FAN, QUERIES = 8, 1 << 14
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -448,6 +450,19 @@ def similar_links(fingerprints: DataFrame, fp_col: str = "fp", radius: int | Non
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
+def _among(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rows whose node is one of nodes, and some others: those of a node that shares its low bits with one (an eighth at most).
+
+    A join of texts by node moves all of them; few bits for each node tell most of the others before. nodes should be cut.
+    """
+    slots = min(MOST_SLOTS, max(64, 1 << (SLOTS * nodes.count() - 1).bit_length()))
+    low = lambda: F.col("node").bitwiseAND(F.lit(slots - 1))
+    word, bit = F.shiftright(low(), 6).alias("word"), F.expr("shiftleft(1L, cast(node & 63 as int))")
+    words = nodes.groupBy(word).agg(F.bit_or(bit).alias("bits"))
+    found = rows.withColumn("word", F.shiftright(low(), 6)).join(F.broadcast(words), "word")
+    return found.where(F.col("bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def verified(edges: DataFrame, rows: DataFrame, id_col: str, text_col: str, node_col: str, similarity: float = SIMILARITY, shingle: int = WORDS, names: DataFrame | None = None) -> DataFrame:
     """Those edges (a, b) whose texts' sets of shingles have that Jaccard similarity, exactly (shingles by 64-bit hash).
 
@@ -462,10 +477,11 @@ def verified(edges: DataFrame, rows: DataFrame, id_col: str, text_col: str, node
     small_batches(rows.sparkSession)
     keys = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     keys = keys.withColumn("node", F.col("key")) if names is None else cut(keys.join(names, "key"))
-    nodes = keys.select("node").distinct()
+    nodes = cut(keys.select("node").distinct())
     least = F.min_by(F.coalesce("text", F.lit("")), F.struct(F.col("id").isNull(), F.col("id"), F.xxhash64("text")))
     own = rows.select(F.col(node_col).alias("node"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = own.join(nodes, "node", "left_semi").groupBy("node").agg(least.alias("text"))
+    # no semi-join: the optimizer would push it under _among
+    texts = _among(own, nodes).join(nodes, "node").groupBy("node").agg(least.alias("text"))
     sets = stored(texts.select("node", hashes("text").alias("shingles")), "shingles")
     keyed = sets if names is None else sets.join(keys, "node")
     ends = [keyed.select(F.col("node" if names is None else "key").alias(k), F.col("node").alias(f"{k}_node"), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y"))]
@@ -555,7 +571,10 @@ def _from_centres(texts: DataFrame, families: DataFrame, n_tasks: int, similarit
     families = cut(families.withColumnRenamed("component", "family"))
     sizes = families.groupBy("family").agg(F.expr(f"greatest(1, count(*) div {CENTRE})").alias("every"))
     known = families.join(sizes, "family")
-    known = F.broadcast(known) if families.count() <= BROADCAST else known
+    if families.count() <= BROADCAST:
+        known = F.broadcast(known)
+    else:
+        texts = _among(texts, families)
     sets = stored(texts.join(known, "node").dropDuplicates(["node"]).select("node", "family", "every", hashes("text").alias("shingles")), "families")
     counted = sets.where(F.pmod(F.xxhash64("node"), "every") == 0).select("family", "shingles")
     centres = counted.groupBy("family").applyInPandas(counts, "family long, many long, seen array<long>, count array<long>")
@@ -594,6 +613,7 @@ def unproposed(rows: DataFrame, edges: DataFrame, text_col: str = "text", fp_col
     fp = F.col(fp_col)
     texts = rows.select(fp["node"].alias("node"), F.col(text_col).alias("text")).where(fp["size"] > 0)
     late, rank = _frequent(texts, shingle)
+    released(spark)
 
     def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -610,6 +630,7 @@ def unproposed(rows: DataFrame, edges: DataFrame, text_col: str = "text", fp_col
     about = rows.select(fp["node"].alias("node"), fp["size"].cast("long").alias("size")).dropDuplicates(["node"])
     about = cut(about.join(components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("component"), "size"))
     shared = _meeting(texts.mapInPandas(prefixes, "bucket long, node long, place long"), n_tasks)
+    released(spark)
     found, words = [], ("node", "component", "size", "apart", "place")
     for left in range(CENTRES, -1, -1):
         placed = shared.join(about, "node")
@@ -695,10 +716,12 @@ def classes(rows: DataFrame, id_col: str = "doc_id", fp_col: str = "fp", radius:
 
 
 def _one(rows: DataFrame, id_col: str, fp_col: str, edges: DataFrame) -> DataFrame:
-    first, node = fresh(rows, "first_id", "node")
+    # rows are dealt once, as the join and what drops repeated ones have the same keys; a component's row has a node of its own,
+    # so the hash of its id only tells that node's rows apart
+    (key,) = fresh(rows, "id_key")
     chosen = _named(rows, id_col, fp_col, edges).groupBy("component").agg(F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("c"))
-    chosen = chosen.select(F.col("c.least").alias(first), F.col("c.node").alias(node))
-    return rows.join(chosen, (rows[fp_col] == chosen[node]) & rows[id_col].eqNullSafe(chosen[first]), "left_semi").dropDuplicates([fp_col, id_col])
+    chosen = chosen.select(F.col("c.node").alias(fp_col), F.xxhash64("c.least").alias(key))
+    return rows.withColumn(key, F.xxhash64(id_col)).join(chosen, [fp_col, key], "left_semi").dropDuplicates([fp_col, key]).select(*rows.columns)
 
 
 def keep_one(rows: DataFrame, id_col: str = "doc_id", fp_col: str = "fp", radius: int = RADIUS) -> DataFrame:
@@ -711,14 +734,21 @@ def keep_similar(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Rows of equal shingle sets are one node, and empty and null texts are one. The fingerprint column becomes one number.
     """
-    nodes = rows.select(F.col(fp_col)["node"].alias("node"), node_of(fp_col).alias("print")).distinct()
-    firsts = nodes.groupBy("print").agg(F.min("node").alias("first"))
-    found = similar_links(rows, fp_col, radius_of(similarity, spreads=SPREADS))
-    # a fingerprint's links are those of its least node, to which its others are tied
-    twins = nodes.join(firsts, "print").where("node != first")
-    names = firsts.select(F.col("print").alias("key"), F.col("first").alias("node")).unionByName(twins.select(F.col("node").alias("key"), "node"))
+    spark = rows.sparkSession
     named = rows.withColumn(fp_col, F.col(fp_col)["node"])
-    proposed = cut(found.unionByName(twins.select(F.col("print").alias("a"), F.col("node").alias("b"))))
-    edges = verified(proposed, named, id_col, text_col, fp_col, similarity, names=names)
-    rest = verified(unproposed(rows, edges, text_col, fp_col, similarity), named, id_col, text_col, fp_col, similarity)
-    return _one(named, id_col, fp_col, edges.unionByName(rest))
+    with passing(spark):
+        nodes = rows.select(F.col(fp_col)["node"].alias("node"), node_of(fp_col).alias("print")).distinct()
+        firsts = nodes.groupBy("print").agg(F.min("node").alias("first"))
+        found = similar_links(rows, fp_col, radius_of(similarity, spreads=SPREADS))
+        # a fingerprint's links are those of its least node, to which its others are tied
+        twins = nodes.join(firsts, "print").where("node != first")
+        names = firsts.select(F.col("print").alias("key"), F.col("first").alias("node")).unionByName(twins.select(F.col("node").alias("key"), "node"))
+        proposed = cut(found.unionByName(twins.select(F.col("print").alias("a"), F.col("node").alias("b"))))
+    # each step's tables and shuffle files go before the next one makes its own
+    with passing(spark):
+        edges = verified(proposed, named, id_col, text_col, fp_col, similarity, names=names)
+    with passing(spark):
+        pairs = unproposed(rows, edges, text_col, fp_col, similarity)
+    with passing(spark):
+        edges = edges.unionByName(verified(pairs, named, id_col, text_col, fp_col, similarity))
+    return _one(named, id_col, fp_col, edges)

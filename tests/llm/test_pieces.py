@@ -1,6 +1,7 @@
 """The operators' inner parts against brute force, without Spark."""
 
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siftspark.llm import ann, bpe, classifier, mixing, rules, simhash, suffixes, warc
+from siftspark.llm import ann, bpe, classifier, mixing, rules, shared, simhash, suffixes, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -110,6 +111,38 @@ def test_near_copies_are_told_by_their_shingles(spark):
     assert simhash.keep_similar(simhash.with_wide_fingerprints(docs.limit(0))).count() == 0
 
 
+def on_disk(spark):
+    """Bytes of shuffle files, and of scratch tables."""
+    local = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    sizes = lambda tops, own: sum(os.path.getsize(f"{d}/{f}") for top in tops for d, _, files in os.walk(top) for f in files if own in f)
+    return sizes(local, "shuffle_"), sizes([p.removeprefix("file:") for paths in shared._made.values() for p in paths], ".parquet")
+
+
+def test_near_copies_leave_little_on_disk(spark):
+    """Texts are dealt out once, at the end; what the steps before it made has gone by then."""
+    rng = random.Random(5)
+    texts = [[f"{rng.getrandbits(40):010x}" for _ in range(1500)] for _ in range(300)]
+    docs = [(i, " ".join(words)) for i, words in enumerate([*texts, *(words[:-20] for words in texts[:10])])]
+    rows = shared.cut(simhash.with_wide_fingerprints(spark.createDataFrame(docs, "doc_id long, text string")))
+    size = sum(len(t) for _, t in docs)
+    shared.released(spark)
+    before = on_disk(spark)
+    kept = simhash.keep_similar(rows)
+    steps = on_disk(spark)
+    assert steps[0] - before[0] < size / 4 and steps[1] == before[1], (size, before, steps)
+    assert {r["doc_id"] for r in kept.collect()} == set(range(300))
+    assert on_disk(spark)[0] - steps[0] < 1.5 * size
+
+
+def test_texts_that_a_join_may_need(spark):
+    rows = spark.range(4000).select(F.xxhash64("id").alias("node"), F.col("id").alias("text"))
+    assert simhash._among(rows, rows.limit(0)).count() == 0
+    for step in (1, 40, 4000):
+        nodes = shared.cut(rows.where(F.col("text") % step == 0).select("node"))
+        got = {r["text"] for r in simhash._among(rows, nodes).collect()}
+        assert set(range(0, 4000, step)) <= got and len(got) < 4000 // step + 4000 // 5
+
+
 def test_near_copies_do_not_hang_on_the_index(spark):
     """Pairs of 90 shingles each that share 80 (0.8 exactly) or 79: all of the first go, whatever the index proposes."""
     texts, want = [], set()
